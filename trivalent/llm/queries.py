@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import norm_hash
 from ..session import table
-from . import quantiles, topn
+from . import leak, quantiles, topn
 
 TIMES = ("median_query_time_seconds", "p95_query_time_seconds")
 
@@ -93,5 +93,16 @@ def p4_days(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("census_slice", "metric", "n", F.round("rank_error", 1).alias("rank_error"), "median", "p99")
 
 
-QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leak.leaked_pages(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The report by item: leaked pages and the longest run of words found."""
+    found = leak.leaked_pages(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    by_item = found.groupBy("item_id").agg(F.count("*").alias("pages"), F.max("words").alias("longest_run"))
+    return table(spark, sf, "eval_items").select("item_id", "suite").join(by_item, "item_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days, "p7_found": p7_found, "p7_items": p7_items}
 SQL = {"p3_found": P3_SQL, "p3_orders": P3_ORDERS_SQL, "p4_found": P4_SQL}
