@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import norm_hash
 from ..session import table
-from . import leak, quantiles, topn
+from . import leak, quantiles, reading, topn
 
 TIMES = ("median_query_time_seconds", "p95_query_time_seconds")
 
@@ -104,5 +104,20 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "eval_items").select("item_id", "suite").join(by_item, "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days, "p7_found": p7_found, "p7_items": p7_items}
+def english_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where(reading.is_english("lang") & (F.col("n_chars") >= 600))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(english_pages(spark, sf), table(spark, sf, "reading_labels"))
+
+
+def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus profiled: pages of each level by newspaper and year."""
+    levels = p8_found(spark, sf)
+    pages = english_pages(spark, sf).select("doc_id", "source", F.year("issue_date").alias("year"))
+    return pages.join(levels, "doc_id").groupBy("source", "year", "reading_level").agg(F.count("*").alias("pages"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources}
 SQL = {"p3_found": P3_SQL, "p3_orders": P3_ORDERS_SQL, "p4_found": P4_SQL}
