@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import norm_hash
-from ..session import table
-from . import leak, quantiles, reading, topn
+from ..functions.columns import face_signature, norm_hash
+from ..session import materialize, table
+from . import leak, packing, quantiles, reading, topn, varied
 
 TIMES = ("median_query_time_seconds", "p95_query_time_seconds")
 
@@ -119,5 +121,42 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
     return pages.join(levels, "doc_id").groupBy("source", "year", "reading_level").agg(F.count("*").alias("pages"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources}
-SQL = {"p3_found": P3_SQL, "p3_orders": P3_ORDERS_SQL, "p4_found": P4_SQL}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a subset with one graph of every face multiset: those whose multiset is theirs alone."""
+    graphs = materialize(varied.face_graphs(table(spark, sf, "source_records")), "graphs")
+    return varied.varied_subset(graphs, None).where("family_size = 1").select(F.col("graph").alias("canonical_graph_hash"))
+
+
+P5_SQL = """
+WITH graphs AS (
+  SELECT lower(trim(canonical_graph_hash)) AS h, max(list_sort(face_size_multiset)) AS sig
+  FROM source_records WHERE len(face_size_multiset) > 0 GROUP BY 1)
+SELECT min(h) AS canonical_graph_hash FROM graphs GROUP BY sig HAVING count(*) = 1"""
+
+
+def p5_selections(spark: SparkSession, sf: str) -> DataFrame:
+    """The graphs of every row of candidate_selections, chosen anew."""
+    graphs = materialize(varied.face_graphs(table(spark, sf, "source_records")), "graphs")
+    parts = []
+    for s in table(spark, sf, "candidate_selections").select("selection_id", "subset_size", "lowest_order", "highest_order").collect():
+        within = graphs.where(F.col("graph_order").between(s.lowest_order, s.highest_order))
+        parts.append(varied.varied_subset(within, s.subset_size or 0, seed=1000 * s.selection_id).select(F.lit(s.selection_id).alias("selection_id"), "*"))
+    chosen = reduce(DataFrame.unionByName, parts)
+    return chosen.select("selection_id", F.col("graph").alias("canonical_graph_hash"), face_signature("sig").alias("face_signature"), F.col("family_size").alias("face_pattern_frequency"))
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = materialize(packing.token_sizes(table(spark, sf, "documents")), "sizes")
+    return packing.fill_containers(sizes, table(spark, sf, "token_budgets"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and unused room of each budget."""
+    by_container = p6_containers(spark, sf).groupBy("budget_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("texts"))
+    by_budget = by_container.groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.max("texts").alias("most_texts"))
+    unused = F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 5).alias("unused_share")
+    return table(spark, sf, "token_budgets").select("budget_id", "capacity_tokens").join(by_budget, "budget_id").select("*", unused)
+
+
+QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days, "p5_found": p5_found, "p5_selections": p5_selections, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources}
+SQL = {"p3_found": P3_SQL, "p3_orders": P3_ORDERS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
