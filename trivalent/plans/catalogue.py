@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import census, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
-FLAGSHIP = "p2_found"
+QUERIES = {**census.Q, **problems.QUERIES}
+SQL = {**census.SQL, **problems.SQL}
+FLAGSHIP = "metric_profile"
