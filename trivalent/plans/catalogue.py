@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import census, problems
+from . import census, commerce, graphs, problems
 
-QUERIES = {**census.Q, **problems.QUERIES}
-SQL = {**census.SQL, **problems.SQL}
+QUERIES = {**census.Q, **graphs.Q, **commerce.Q, **problems.QUERIES}
+SQL = {**census.SQL, **graphs.SQL, **commerce.SQL, **problems.SQL}
 FLAGSHIP = "metric_profile"
