@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import census, commerce, graphs, problems
+from . import census, commerce, graphs, intake, problems
 
-QUERIES = {**census.Q, **graphs.Q, **commerce.Q, **problems.QUERIES}
-SQL = {**census.SQL, **graphs.SQL, **commerce.SQL, **problems.SQL}
+QUERIES = {**census.Q, **graphs.Q, **commerce.Q, **intake.QUERIES, **problems.QUERIES}
+SQL = {**census.SQL, **graphs.SQL, **commerce.SQL, **intake.SQL, **problems.SQL}
 FLAGSHIP = "metric_profile"
