@@ -160,7 +160,7 @@ def pearson(x: str, y: str) -> Column:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
     r = safe_ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.when(F.count(a) >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when((F.count(a) >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def correlations(df: DataFrame, scope: str, outcome: str, metrics: list[str]) -> DataFrame:

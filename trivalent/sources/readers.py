@@ -114,8 +114,9 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     last = numbered.groupBy("file").agg(F.max(F.struct("block", "at")).alias("last"))
     marked = complete_objects(numbered.join(last, "file")).withColumn("is_last", F.struct("block", "at") == F.col("last"))
     bad = (F.col("state") == "broken") & ~F.col("is_last")
-    checked = marked.where("state <> 'blank'").withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit("broken line in "), F.col("file")))).otherwise(F.col("value")))
-    return checked.where("state = 'object'").select("file", F.from_json("value", schema).alias("r")).select("file", "r.*")
+    told = F.raise_error(F.concat(F.lit("broken line in "), F.col("file"))).cast("boolean")
+    kept = marked.where(F.when(bad, told).otherwise(F.col("state") == "object"))
+    return kept.select("file", F.from_json("value", schema).alias("r")).select("file", "r.*")
 
 
 def latest_lines(lines: DataFrame, key: str, order: str) -> DataFrame:
