@@ -28,6 +28,7 @@ STRETCH = 48  # letters of an item within which the rarer half of the n-grams ar
 LEAST_SEEDS = 6
 BAND = 16
 MATCH, OTHER, GAP = 2, -3, -3
+SLACK = 5
 BLOCK_LETTERS = 4_000_000  # letters of items broadcast at once
 _MUL = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -146,7 +147,7 @@ def _seek(index_of, lengths_of):
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
-    """Banded Smith-Waterman of many (item, piece, diagonal) at once: which item letters are matched."""
+    """Banded Smith-Waterman of many (item, piece, diagonal) at once: the piece's place of each item letter, -1 if unmatched."""
     size, n, w = len(pairs), max(len(a) for a, _, _ in pairs), 2 * BAND + 1
     item, page = np.zeros((size, n), np.uint8), np.full((size, n + w), 1, np.uint8)
     for r, (a, b, diag) in enumerate(pairs):
@@ -173,32 +174,39 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
         g = m > best
         if g.any():
             best[g], best_i[g], best_k[g] = m[g], i, score[g].argmax(axis=1)
-    matched, rows = np.zeros((size, n), bool), np.arange(size)
+    place, rows = np.full((size, n), -1, np.int64), np.arange(size)
     i, k, live = best_i, best_k, best > 0
     while live.any():
         way = np.where(live, ways[i, rows, k], 0)
         live = way > 0
         hit = (way == 1) & (page[rows, np.minimum(i + k, n + w - 1)] == item[rows, i])
-        matched[rows[hit], i[hit]] = True
+        place[rows[hit], i[hit]] = (i + k)[hit]
         k = np.where(way == 2, k + 1, np.where(way == 3, k - 1, k))
         i = np.where((way == 1) | (way == 2), i - 1, i)
         live &= (i >= 0) & (k >= 0) & (k < w)
         i, k = np.maximum(i, 0), np.clip(k, 0, w - 1)
-    return [matched[r, : len(a)] for r, (a, _, _) in enumerate(pairs)]
+    return [place[r, : len(a)] for r, (a, _, _) in enumerate(pairs)]
 
 
-def longest_run(matched: np.ndarray, words: list[bytes]) -> int:
+def longest_run(place: np.ndarray, words: list[bytes]) -> int:
     """Most consecutive words of the item that the alignment holds.
 
     Inside a run half of a word's letters suffice; its first and last word must be there from end to end.
+    Between two words the page may have at most ``SLACK`` letters that the item hasn't.
     """
+    matched = place >= 0
     size = np.array([len(w) for w in words])
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
     count = np.add.reduceat(matched.astype(np.int64), start)
     loose = np.where(size <= 2, count == size, count * 2 >= size)
     whole = loose & ((matched[start] & matched[start + size - 1]) | (count >= 0.8 * size))
+    at = np.flatnonzero(matched)
+    far = np.zeros(len(words), dtype=bool)  # words before which the page goes on with something else
+    if len(at) > 1:
+        jump = np.diff(place[at]) - np.diff(at) > SLACK
+        far[np.searchsorted(start, at[1:][jump], side="right") - 1] = True
+    cut = np.flatnonzero(np.concatenate(([True], (loose[1:] != loose[:-1]) | far[1:], [True])))
     best = 0
-    cut = np.flatnonzero(np.concatenate(([True], loose[1:] != loose[:-1], [True])))
     for a, b in zip(cut[:-1], cut[1:]):
         if loose[a]:
             ends = np.flatnonzero(whole[a:b])
