@@ -6,9 +6,10 @@ all by ``sequence`` and expressions, so a whole grid of cases is one query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .graph import components, face_adjacency
 
 #: The four exceptional cycles: key, ladder that is walked straight, which end its rung lies at, parity of the other ladder's rails.
@@ -146,3 +147,93 @@ def strips(face_walks: DataFrame) -> DataFrame:
     comp = components(link.select("graph", F.col("n1").alias("u"), F.col("n2").alias("v")))
     grouped = comp.join(deg, ["graph", "node"]).groupBy("graph", F.col("component").alias("strip"))
     return grouped.agg(F.countDistinct("node.face").alias("faces"), (F.min("d") == 2).alias("closed"))
+
+
+def _links(face_walks: DataFrame) -> DataFrame:
+    """(graph, n1, n2): nodes (face, slot) that follow each other across an edge, either way."""
+    e = face_walks.where("size = 4").select("graph", F.col("face"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("step") % 2).alias("slot"))
+    other = e.select("graph", "u", "v", F.col("face").alias("f2"), F.struct("face", "slot").alias("n2"))
+    return e.select("graph", "u", "v", "face", F.struct("face", "slot").alias("n1")).join(other, ["graph", "u", "v"]).where("face <> f2").select("graph", "n1", "n2")
+
+
+def strip_sequences(face_walks: DataFrame) -> DataFrame:
+    """(graph, strip, pos, face): the faces of every open strip in order, from the end of the lesser node.
+
+    Steps to the far end are found by pointer doubling over directed links.
+    """
+    link = materialize(_links(face_walks), "links")
+    deg = link.groupBy("graph", F.col("n1").alias("node")).agg(F.count("*").alias("d"))
+    comp = components(link.select("graph", F.col("n1").alias("u"), F.col("n2").alias("v"))).join(deg, ["graph", "node"])
+    ends = comp.where("d = 1").groupBy("graph", "component").agg(F.max("node").alias("far"))
+    nodes = materialize(comp.join(ends, ["graph", "component"]).select("graph", F.col("component").alias("strip"), "node", "far"), "open")
+    arcs = link.join(nodes.select("graph", F.col("node").alias("n1"), "strip", "far"), ["graph", "n1"])
+    after = link.select("graph", F.col("n1").alias("n2"), F.col("n2").alias("n3"))
+    step = arcs.join(after, ["graph", "n2"], "left").where("n3 is null or n3 <> n1 or n2 = far")
+    to = F.when((F.col("n3") != F.col("n1")), F.struct(F.col("n2").alias("a"), F.col("n3").alias("b")))
+    now = materialize(step.select("graph", "strip", "far", F.struct(F.col("n1").alias("a"), F.col("n2").alias("b")).alias("arc"), to.alias("to"), F.lit(1).alias("steps"), F.col("n2").alias("last")), "arcs")
+    while not now.where("to is not null").isEmpty():
+        hop = now.select("graph", F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("s2"), F.col("last").alias("l2"))
+        joined = now.join(hop, ["graph", "to"], "left")
+        now = materialize(joined.select("graph", "strip", "far", "arc", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.coalesce("l2", "last").alias("last")), "arcs")
+    away = now.where("last = far").groupBy("graph", "strip", F.col("arc.a").alias("node")).agg(F.min("steps").alias("steps"))
+    placed = nodes.join(away, ["graph", "strip", "node"], "left").withColumn("steps", F.coalesce("steps", F.lit(0)))
+    longest = F.max("steps").over(Window.partitionBy("graph", "strip"))
+    return placed.select("graph", "strip", (longest - F.col("steps")).alias("pos"), F.col("node.face").alias("face"))
+
+
+def maximal_windows(sequences: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """(graph, strip, first, last, faces): inclusion-maximal stretches of at least two places without a repeated face and without a chord.
+
+    ``adjacent`` has (graph, face, other). A stretch ends before the first place that meets an earlier one wrongly.
+    """
+    later = sequences.select("graph", "strip", F.col("pos").alias("pos2"), F.col("face").alias("other"))
+    chords = sequences.join(adjacent, ["graph", "face"]).join(later, ["graph", "strip", "other"]).where("pos2 >= pos + 2").select("graph", "strip", "pos", "pos2")
+    again = sequences.join(later.withColumnRenamed("other", "face"), ["graph", "strip", "face"]).where("pos2 > pos").select("graph", "strip", "pos", "pos2")
+    stop = chords.unionByName(again).groupBy("graph", "strip", "pos").agg(F.min("pos2").alias("stop"))
+    w = Window.partitionBy("graph", "strip").orderBy("pos")
+    bounded = sequences.join(stop, ["graph", "strip", "pos"], "left")
+    whole = F.max("pos").over(Window.partitionBy("graph", "strip"))
+    last = F.least(F.min(F.col("stop") - 1).over(w.rowsBetween(0, Window.unboundedFollowing)), whole)
+    reach = bounded.withColumn("last", last)
+    fresh = reach.withColumn("before", F.lag("last").over(w)).where("(before is null or before < last) and last > pos")
+    inside = fresh.select("graph", "strip", F.col("pos").alias("first"), "last").join(sequences.withColumnRenamed("pos", "at"), ["graph", "strip"]).where("at between first and last")
+    return inside.groupBy("graph", "strip", "first", "last").agg(F.array_sort(F.collect_set("face")).alias("faces"))
+
+
+def ladder_parameters(face_walks: DataFrame) -> DataFrame:
+    """Ladder structure of each graph from the darts of its faces (graph, face, u, v, step, size).
+
+    (graph, quadrilaterals, strips, ladder_max, covered, fraction, closed_strips, degenerate_strips, best_a, best_b, score): ladders are the
+    maximal windows of open strips; the best pair is that of disjoint ladders with the largest (a+2)(b+2), then a;
+    the score is ((a+2)(b+2)-1)/2, null without a pair.
+    """
+    walks = materialize(face_walks, "walks")
+    quads = walks.where("size = 4").groupBy("graph").agg(F.countDistinct("face").alias("quadrilaterals"))
+    near = materialize(_links(walks).select("graph", F.col("n1.face").alias("face"), F.col("n2.face").alias("other")).distinct(), "near")
+    ladders = materialize(maximal_windows(strip_sequences(walks), near).withColumn("length", F.col("last") - F.col("first") + 1), "ladders")
+    size = ladders.groupBy("graph").agg(F.count("*").alias("strips"), F.max("length").alias("ladder_max"))
+    cover = ladders.select("graph", F.explode("faces").alias("f")).groupBy("graph").agg(F.countDistinct("f").alias("covered"))
+    key = F.struct("strip", "first", "last")
+    one = ladders.select("graph", key.alias("k"), "faces", "length")
+    two = ladders.select("graph", key.alias("k2"), F.col("faces").alias("faces2"), F.col("length").alias("length2"))
+    pairs = one.join(two, "graph").where((F.col("k") < F.col("k2")) & ~F.arrays_overlap("faces", "faces2"))
+    a, b = F.greatest("length", "length2"), F.least("length", "length2")
+    best = pairs.groupBy("graph").agg(F.max(F.struct(((a + 2) * (b + 2)).alias("p"), a.alias("a"), b.alias("b"))).alias("best"))
+    # closed strips: simple if no face comes twice and none touches more than its two neighbours in the strip
+    link = _links(walks)
+    deg = link.groupBy("graph", F.col("n1").alias("node")).agg(F.count("*").alias("d"))
+    comp = components(link.select("graph", F.col("n1").alias("u"), F.col("n2").alias("v"))).join(deg, ["graph", "node"])
+    ring = materialize(comp.join(comp.where("d = 1").select("graph", "component").distinct(), ["graph", "component"], "left_anti").select("graph", "component", F.col("node.face").alias("face")), "rings")
+    touch = ring.distinct().join(near, ["graph", "face"]).join(ring.select("graph", "component", F.col("face").alias("other")).distinct(), ["graph", "component", "other"]).groupBy("graph", "component", "face").agg(F.count("*").alias("t"))
+    shape = ring.groupBy("graph", "component").agg(F.count("*").alias("n"), F.countDistinct("face").alias("m")).join(touch.groupBy("graph", "component").agg(F.max("t").alias("t")), ["graph", "component"])
+    simple = (F.col("n") == F.col("m")) & (F.col("t") == 2)
+    rings = shape.groupBy("graph").agg(F.count_if(simple).alias("closed_strips"), F.count_if(~simple).alias("degenerate_strips"))
+    out = walks.select("graph").distinct()
+    for f in (quads, size, cover, rings, best):
+        out = out.join(f, "graph", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(
+        "graph", zero("quadrilaterals"), zero("strips"), zero("ladder_max"), zero("covered"),
+        F.coalesce(F.try_divide(F.col("covered"), F.col("quadrilaterals")), F.lit(0.0)).alias("fraction"), zero("closed_strips"), zero("degenerate_strips"),
+        F.col("best.a").alias("best_a"), F.col("best.b").alias("best_b"), ((F.col("best.p") - 1) / 2).alias("score"),
+    )

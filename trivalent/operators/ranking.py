@@ -56,3 +56,31 @@ def pruned(df: DataFrame, cap: str, cost: str, key: str, per_cap: int, overall:
 def first_by(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
     """One row of each group, the first in a total order."""
     return df.withColumn("r__", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where("r__ = 1").drop("r__")
+
+
+def best_sequence(candidates: DataFrame, moves: DataFrame) -> DataFrame:
+    """(group, cost, choices): per group one candidate a stage, the cheapest in all; equal costs go to the lesser choices.
+
+    ``candidates`` has (group, stage from 0, name, cost), ``moves`` (group, stage, name, next, cost) what it takes to go on.
+    """
+    from ..session import materialize
+
+    stages = candidates.agg(F.max("stage")).first()[0]
+    now = candidates.where("stage = 0").select("group", "name", F.struct(F.col("cost").alias("cost"), F.array("name").alias("choices")).alias("best"))
+    for k in range(1, (stages or 0) + 1):
+        step = moves.where(F.col("stage") == k - 1).select("group", "name", "next", F.col("cost").alias("move"))
+        own = candidates.where(F.col("stage") == k).select("group", F.col("name").alias("next"), F.col("cost").alias("own"))
+        grown = now.join(step, ["group", "name"]).join(own, ["group", "next"])
+        total = F.struct((F.col("best.cost") + F.col("move") + F.col("own")).alias("cost"), F.concat("best.choices", F.array("next")).alias("choices"))
+        now = materialize(grown.select("group", F.col("next").alias("name"), total.alias("b")).groupBy("group", "name").agg(F.min("b").alias("best")), "stage")
+    return now.groupBy("group").agg(F.min("best").alias("b")).select("group", "b.cost", "b.choices")
+
+
+def controls(df: DataFrame, key: str, picks: list[tuple[str, Column]]) -> DataFrame:
+    """(code, key): for each pick in turn the least of its order among the rows not yet taken, ties by key."""
+    taken: DataFrame | None = None
+    for code, order in picks:
+        rest = df if taken is None else df.join(taken.select(key), key, "left_anti")
+        one = rest.agg(F.min_by(F.col(key), F.struct(order.alias("o"), F.col(key).alias("k"))).alias(key)).select(F.lit(code).alias("code"), key)
+        taken = one if taken is None else taken.unionByName(one)
+    return taken
