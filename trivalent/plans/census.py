@@ -361,3 +361,71 @@ def state_transitions(spark: SparkSession, sf: str) -> DataFrame:
     after = F.lead("property_satisfied").over(Window.partitionBy("census_slice").orderBy("generation_index", "result_id"))
     rows = runs_once(spark, sf).select(F.col("property_satisfied").alias("state"), after.alias("next_state")).where("state is not null and next_state is not null")
     return rows.groupBy("state", "next_state").agg(F.count("*").alias("transitions"))
+
+
+REPORTED = ["minimum", "p10", "q1", "median", "q3", "p90", "p95", "p99", "maximum", "mean"]
+
+
+@query(f"""
+WITH {ONCE}, l AS (SELECT census_slice, 'median_query_time_seconds' AS metric, median_query_time_seconds AS v FROM once UNION ALL SELECT census_slice, 'p95_query_time_seconds', p95_query_time_seconds FROM once),
+v AS (SELECT * FROM l WHERE v >= 0 AND NOT isnan(v) AND NOT isinf(v)),
+t AS (SELECT census_slice, metric, min(v) AS minimum, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3,
+  quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99, max(v) AS maximum, avg(v) AS mean FROM v GROUP BY ALL),
+j AS ({' UNION ALL '.join(f"SELECT profile_id, '{c}' AS field, m.{c} AS r, t.{c} AS x FROM metric_profiles m JOIN t USING (census_slice, metric)" for c in REPORTED)})
+SELECT profile_id, field, round(r, 9) AS reported, round(x, 9) AS recomputed FROM j WHERE abs(r - x) > 0.05 * abs(x)""")
+def profile_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every statistic of a reported profile that is off by more than 5 % of the exact one."""
+    from ..operators.merging import compare_fields
+
+    runs = runs_once(spark, sf).select("census_slice", "median_query_time_seconds", "p95_query_time_seconds")
+    long = materialize(stats.to_long(runs, ["census_slice"], ["median_query_time_seconds", "p95_query_time_seconds"]).where("value >= 0").where(stats.finite("value")), "times")
+    g = ["census_slice", "metric"]
+    ranks = stats.exact_percentiles(long, g, "value", {k: stats.PROFILE[k] for k in stats.PROFILE})
+    plain = long.groupBy(*g).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"))
+    true = stats.join_groups(ranks, plain, g)
+    told = table(spark, sf, "metric_profiles").select("profile_id", *g, *REPORTED)
+    keyed = told.select("profile_id", *g).join(true, g)
+    off = F.abs(F.col("left") - F.col("right")) > 0.05 * F.abs(F.col("right"))
+    out = compare_fields(told, keyed, ["profile_id"], REPORTED, F.coalesce(off, F.lit(False)))
+    return out.select("profile_id", "field", F.round("left", 9).alias("reported"), F.round("right", 9).alias("recomputed"))
+
+
+@query(f"""
+WITH {LAST}, a AS (SELECT canonical_graph_hash AS h FROM latest WHERE number_of_witness_cycles IS NOT NULL ORDER BY number_of_witness_cycles, h LIMIT 1),
+b AS (SELECT canonical_graph_hash AS h FROM latest WHERE total_subtour_iterations IS NOT NULL AND canonical_graph_hash NOT IN (SELECT h FROM a) ORDER BY total_subtour_iterations DESC, h LIMIT 1),
+c AS (SELECT canonical_graph_hash AS h FROM latest WHERE total_subtour_constraints IS NOT NULL AND canonical_graph_hash NOT IN (SELECT h FROM a UNION SELECT h FROM b) ORDER BY total_subtour_constraints DESC, h LIMIT 1)
+SELECT 'fewest witnesses' AS code, h AS canonical_graph_hash FROM a UNION ALL SELECT 'most iterations', h FROM b UNION ALL SELECT 'most constraints', h FROM c""")
+def control_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Three controls, each picked among the graphs not yet taken."""
+    runs = materialize(latest_runs(spark, sf, *METRICS).dropna(subset=METRICS[:3]), "latest")
+    picks = [("fewest witnesses", F.col(METRICS[0])), ("most iterations", -F.col(METRICS[1])), ("most constraints", -F.col(METRICS[2]))]
+    return ranking.controls(runs, "canonical_graph_hash", picks)
+
+
+@query("""
+WITH RECURSIVE c(k, b) AS (SELECT 0, 1::BIGINT UNION ALL SELECT k + 1, CASE WHEN k % 2 = 1 THEN 2 * b ELSE b * (k + 1) // ((k + 2) // 2) END FROM c WHERE k < 40),
+o AS (SELECT graph_order, max(edge_count) AS edges, count(*) AS runs FROM all_edge_pair_results GROUP BY 1)
+SELECT graph_order, edges, runs, (SELECT min(k) FROM c WHERE b >= edges) AS least_cycles FROM o""")
+def antichain_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """For each order the fewest cycles whose signatures could tell all edges apart."""
+    from ..operators.separation import sperner_bound
+
+    orders = table(spark, sf, "all_edge_pair_results").groupBy("graph_order").agg(F.max("edge_count").alias("edges"), F.count("*").alias("runs"))
+    import math
+
+    sizes = F.array(*[F.lit(math.comb(k, k // 2)) for k in range(sperner_bound(10**9) + 1)])
+    return orders.withColumn("least_cycles", F.size(F.filter(sizes, lambda b: b < F.col("edges"))))
+
+
+@query(f"""
+WITH {LAST}, s AS (SELECT lower(trim(canonical_graph_hash)) AS h, requested_vertex_count AS n FROM source_records),
+d AS (SELECT h FROM s GROUP BY 1 HAVING count(*) > 1), r AS (SELECT canonical_graph_hash AS h, graph_order AS n FROM latest)
+SELECT h AS canonical_graph_hash, 'twice left' AS fault FROM d
+UNION ALL SELECT coalesce(s.h, r.h), CASE WHEN r.h IS NULL THEN 'missing right' WHEN s.h IS NULL THEN 'missing left' ELSE 'unequal' END FROM s FULL JOIN r ON s.h = r.h WHERE r.h IS NULL OR s.h IS NULL OR s.n <> r.n""")
+def source_merge_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Where sources and latest runs don't go together one to one."""
+    from ..operators.merging import merge_faults
+
+    s = table(spark, sf, "source_records").select(norm_hash("canonical_graph_hash").alias("canonical_graph_hash"), F.col("requested_vertex_count").alias("n"))
+    r = latest_runs(spark, sf, "graph_order").withColumnRenamed("graph_order", "n")
+    return merge_faults(s, r, ["canonical_graph_hash"], ["n"])
