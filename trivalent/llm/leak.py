@@ -29,6 +29,7 @@ LEAST_SEEDS = 6
 BAND = 16
 MATCH, OTHER, GAP = 2, -3, -3
 SLACK = 5
+PAIRS, PAIR_CELLS = 512, 16_000_000  # aligned at once: at most so many pairs, and bytes of their paths
 BLOCK_LETTERS = 4_000_000  # letters of items broadcast at once
 _MUL = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -227,8 +228,8 @@ def _verify(words_of, least_words: int):
             rows.sort(key=lambda r: len(joined[r[1]]))
             out, at = [], 0
             while at < len(rows):
-                longest = len(joined[rows[min(at + 63, len(rows) - 1)][1]])
-                take = max(1, min(64, 8_000_000 // ((longest + 1) * (2 * BAND + 1))))
+                longest = len(joined[rows[min(at + PAIRS, len(rows)) - 1][1]])
+                take = max(1, min(PAIRS, PAIR_CELLS // ((longest + 1) * (2 * BAND + 1))))
                 some = rows[at : at + take]
                 at += take
                 hits = align([(joined[i], np.frombuffer(p, np.uint8), g) for _, i, g, p in some])
