@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import norm_edge
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def darts(graphs: DataFrame) -> DataFrame:
@@ -48,16 +48,20 @@ def dart_faces(graphs: DataFrame, longest: int = 1 << 20) -> DataFrame:
     while reach < longest:
         other = now.select("graph", F.col("dart").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
         moved = materialize(now.join(other, ["graph", "to"]).select("graph", "dart", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")), "orbit")
-        now, reach = moved.drop("moved"), reach * 2
-        if moved.where("moved").isEmpty():
+        still = moved.where("moved").isEmpty()
+        discard(now)
+        now, reach = moved, reach * 2
+        if still:
             break
+    now = now.select("graph", "dart", "to", "low")
     # places: walk from each dart towards the least one, counting steps, again by doubling
     start = step.join(now.select("graph", "dart", "low"), ["graph", "dart"])
     ends = F.col("dart") == F.col("low")
     walk = materialize(start.select("graph", "dart", "low", F.when(ends, F.col("dart")).otherwise(F.col("to")).alias("to"), F.when(ends, 0).otherwise(1).alias("left")), "walk")
     while not walk.where("to <> low").isEmpty():
         other = walk.select("graph", F.col("dart").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
-        walk = materialize(walk.join(other, ["graph", "to"]).select("graph", "dart", "low", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left")), "walk")
+        last, walk = walk, materialize(walk.join(other, ["graph", "to"]).select("graph", "dart", "low", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left")), "walk")
+        discard(last)
     sizes = walk.groupBy("graph", "low").agg(F.count("*").alias("size"))
     placed = walk.join(sizes, ["graph", "low"]).withColumn("step", F.pmod(F.col("size") - F.col("left"), F.col("size")))
     return placed.select("graph", "dart.u", "dart.v", F.col("low.u").alias("face_u"), F.col("low.v").alias("face_v"), "step", "size")

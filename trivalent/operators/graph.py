@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import norm_edge
-from ..session import materialize
+from ..session import discard, materialize
 
 REASONS = ["graph has self-loops", "graph has parallel edges", "graph is not cubic", "graph is not bipartite", "graph is not 3-vertex-connected"]
 
@@ -62,7 +62,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         large = large.where("u <> v").distinct()
         lows = large.groupBy("graph", "u").agg(F.min("v").alias("m"))
         small = large.join(lows, ["graph", "u"]).select("graph", F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("graph", "e.u", "e.v").where("u <> v").distinct(), "star")
+        last, now = now, materialize(small.select("graph", "e.u", "e.v").where("u <> v").distinct(), "star")
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("graph", "u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def signature_classes(cycle_edges: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def greedy_cover(pairs: DataFrame) -> DataFrame:
         gains = left.select("graph", "pairs", F.explode("support").alias("cycle_id")).groupBy("graph", "cycle_id").agg(F.sum("pairs").alias("gain"))
         best = materialize(gains.groupBy("graph").agg(F.max_by(F.struct("cycle_id", "gain"), F.struct("gain", -F.col("cycle_id"))).alias("b")).select("graph", F.lit(step).alias("step"), "b.*"), "best")
         picked = best if picked is None else picked.unionByName(best)
-        left = materialize(left.join(best.select("graph", "cycle_id"), "graph").where(~F.array_contains("support", F.col("cycle_id"))).drop("cycle_id"), "left")
+        last, left = left, materialize(left.join(best.select("graph", "cycle_id"), "graph").where(~F.array_contains("support", F.col("cycle_id"))).drop("cycle_id"), "left")
+        discard(last)
     return picked if picked is not None else pairs.select("graph", F.lit(0).alias("step"), F.lit(0).alias("cycle_id"), "pairs").limit(0)
 
 
@@ -85,7 +86,8 @@ def greedy_packing(pairs: DataFrame) -> DataFrame:
         lead = materialize(lead, "lead")
         taken = lead if taken is None else taken.unionByName(lead)
         used = lead.select("graph", F.explode("support").alias("c")).groupBy("graph").agg(F.collect_set("c").alias("used"))
-        left = materialize(left.join(used, "graph", "left").where(F.col("used").isNull() | ~F.arrays_overlap("support", "used")).drop("used"), "packing")
+        last, left = left, materialize(left.join(used, "graph", "left").where(F.col("used").isNull() | ~F.arrays_overlap("support", "used")).drop("used"), "packing")
+        discard(last)
     return (taken if taken is not None else left).select("graph", "support")
 
 
@@ -110,7 +112,8 @@ def minimum_cover(pairs: DataFrame) -> DataFrame:
         done = met if done is None else done.unionByName(met)
         grown = next_.join(met.select("graph"), "graph", "left_anti").where(F.size("family") + 1 <= F.col("upper"))
         grown = grown.select("graph", "upper", F.explode("n.support").alias("c"), "family").select("graph", "upper", F.array_sort(F.concat("family", F.array("c"))).alias("family"))
-        now = materialize(grown.distinct(), "family")
+        last, now = now, materialize(grown.distinct(), "family")
+        discard(last)
     if done is None:
         done = s.select("graph", F.col("support").alias("cover")).limit(0)
     return done.select("graph", F.size("cover").alias("cover_size"), "cover")
