@@ -169,15 +169,22 @@ def varied_subset(graphs: DataFrame, size: int | None, seed: int = 1) -> DataFra
     members = held.withColumn("member", F.row_number().over(order)).where(F.col("member") <= max(1, turns))
     pool = materialize(members.join(families, "sig").select("graph", "sig", "family_size", "member"), "members")
     tiers = [(pool.where("family_size = 1"), sizes.get(1, 0)), (pool.where("family_size > 1 and member = 1"), sum(n for s, n in sizes.items() if s > 1))]
-    tiers += [(pool.where(F.col("member") == t), sum(n for s, n in sizes.items() if s >= t)) for t in range(2, turns + 1)]
     chosen: DataFrame | None = None
     left = size
     for number, (tier, count) in enumerate(tiers):
-        if left <= 0 or not count:
-            continue
-        won = take_from_tier(tier.select("graph", "sig"), count, left, seed + 100 * number, chosen if number < 2 else None)
-        chosen = won if chosen is None else chosen.unionByName(won)
-        left -= min(count, left)
+        if left > 0 and count:
+            won = take_from_tier(tier.select("graph", "sig"), count, left, seed + 100 * number, chosen)
+            chosen = won if chosen is None else chosen.unionByName(won)
+            left -= min(count, left)
+    # later turns repeat feature rows that are in already: those that fit are taken whole, and the last one is chosen from
+    turn = 2
+    while turn <= turns and left >= (count := sum(n for s, n in sizes.items() if s >= turn)):
+        left, turn = left - count, turn + 1
+    if turn > 2 and chosen is not None:
+        chosen = chosen.unionByName(pool.where(F.col("member").between(2, turn - 1)).select("graph", "sig"))
+    if turn <= turns and left > 0 and count:
+        won = take_from_tier(pool.where(F.col("member") == turn).select("graph", "sig"), count, left, seed + 100 * turn, None)
+        chosen, left = chosen.unionByName(won), 0
     out = pool.join(chosen.select("graph"), "graph") if chosen is not None else pool.limit(0)
     out = out.select("graph", "sig", "family_size", "member")
     if left > 0:
