@@ -13,6 +13,6 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from trivalent.session import get_spark
 
-    session = get_spark("tests", cpus=8, **{"spark.sql.shuffle.partitions": "4"})
+    session = get_spark("tests", cpus=8, **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"})
     yield session
     session.stop()
