@@ -43,6 +43,8 @@ def test_the_last_complete_line_counts(spark):
     got = rows_of(spark, lines)
     assert {(r[0], r[5]) for r in got if r[4] == 0} == {(1, 11), (2, 20)}
     assert rows_of(spark, []) == set()
+    unnumbered = spark.createDataFrame([(None, 1, line(10)), (-5, 1, line(11)), (None, 2, line(12))], "line_no long, record_id long, record_json string")
+    assert {(r.record_id, r.leaf_value) for r in nested.hardest_and_witness_rows(unnumbered).where("inner_pos = 0").collect()} == {(1, 11), (2, 12)}
 
 
 def test_repeated_lines_and_parents(spark):

@@ -199,7 +199,7 @@ def emit_records(lines: DataFrame, record_id: str = "record_id", line_no: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=list(cols))
 
-    slim = lines.select(F.col(record_id).cast("long").alias("r"), F.col(line_no).cast("long").alias("l"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("s"))
+    slim = lines.select(F.col(record_id).cast("long").alias("r"), F.coalesce(F.col(line_no).cast("long"), F.lit(-(2**62))).alias("l"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("s"))
     return slim.where("r is not null and s is not null").mapInArrow(run, EMITTED)
 
 
@@ -207,18 +207,19 @@ def shred(lines: DataFrame, record_id: str = "record_id", line_no: str = "line_n
     """Flat tables by tag, each (record_id, pk, parent_pk, place, payload in its schema).
 
     Of a record's lines the one with the largest number that holds a complete JSON object counts; of
-    different texts under one number the one of the larger hash, and a line given twice counts once. Lines without a
-    record id, and null, blank or broken texts, give nothing. Byte order marks and blanks around the
+    different texts under one number the one of the larger hash, and a line given twice counts once; a null number is the
+    least. Lines without a record id, and null, blank or broken texts, give nothing. Byte order marks and blanks around the
     object are passed over. Absent, null and empty children give no rows. Extra columns are ignored.
     """
     spark = lines.sparkSession
     path = scratch_path(spark, "shredded")
     emit_records(lines, record_id, line_no, text).write.partitionBy("tag").parquet(path)
     tagged = spark.read.schema(EMITTED).parquet(path)
-    latest = tagged.where("tag = 'record'").groupBy("record_id").agg(F.max(F.struct("line_no", "text_hash")).alias("at"))
+    latest = tagged.where("tag = 'record'").groupBy("record_id").agg(F.max(F.struct("line_no", "text_hash")).alias("at")).select("record_id", "at.line_no", "at.text_hash")
     out = {}
     for tag, schema in PAYLOADS.items():
-        own = tagged.where(F.col("tag") == tag).join(latest, "record_id").where(F.struct("line_no", "text_hash") == F.col("at"))
+        # joined on the whole line key: a record of very many lines is spread over the tasks
+        own = tagged.where(F.col("tag") == tag).join(latest, ["record_id", "line_no", "text_hash"], "left_semi")
         once = own.groupBy("record_id", "pk").agg(F.first("parent_pk").alias("parent_pk"), F.first("place").alias("place"), F.first("payload").alias("payload"))
         out[tag] = once.select("record_id", "pk", "parent_pk", "place", F.from_json("payload", schema).alias("payload"))
     return out
