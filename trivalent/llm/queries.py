@@ -11,6 +11,8 @@ from ..functions.columns import face_signature, norm_hash
 from ..session import materialize, table
 from . import leak, packing, quantiles, reading, topn, varied
 
+#: Rank error that a percentile may have, as a share of its slice's values.
+P4_EPS = 0.0002
 TIMES = ("median_query_time_seconds", "p95_query_time_seconds")
 
 
@@ -62,7 +64,7 @@ def timed_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    true = quantiles.grouped_percentiles(timed_values(spark, sf), ["census_slice", "metric"], "value", {"true_median": 0.5, "true_p99": 0.99}, eps=0.0005)
+    true = quantiles.grouped_percentiles(timed_values(spark, sf), ["census_slice", "metric"], "value", {"true_median": 0.5, "true_p99": 0.99}, eps=P4_EPS)
     told = table(spark, sf, "metric_profiles").select("profile_id", "metric", "census_slice", F.col("median").alias("told_median"), F.col("p99").alias("told_p99"))
     off = lambda name: F.abs(F.col(f"told_{name}") - F.col(f"true_{name}")) > 0.05 * F.abs(F.col(f"true_{name}"))
     cases = F.array(*[F.when(off(name) | F.isnan(f"told_{name}"), F.lit(name)) for name in ("median", "p99")])
@@ -88,9 +90,9 @@ UNION ALL SELECT profile_id, 'p99' FROM j WHERE abs(p99 - p) > 0.05 * abs(p)"""
 
 def p4_days(spark: SparkSession, sf: str) -> DataFrame:
     """Slices' percentiles out of one summary per slice, metric and day: the days are summarized on their own, then merged."""
-    days = quantiles.merge_by(quantiles.build_summaries(timed_values(spark, sf), ["census_slice", "metric", "day"], "value", 0.0005), ["census_slice", "metric", "day"], 0.0005)
+    days = quantiles.merge_by(quantiles.build_summaries(timed_values(spark, sf), ["census_slice", "metric", "day"], "value", P4_EPS), ["census_slice", "metric", "day"], P4_EPS)
     parted = days.withColumn("part", F.datediff("day", F.lit("2020-01-01"))).drop("day")
-    merged = quantiles.merge_by(parted, ["census_slice", "metric"], 0.001)
+    merged = quantiles.merge_by(parted, ["census_slice", "metric"], 2 * P4_EPS)
     out = quantiles.percentiles(merged, ["census_slice", "metric"], {"median": 0.5, "p99": 0.99})
     return out.select("census_slice", "metric", "n", F.round("rank_error", 1).alias("rank_error"), "median", "p99")
 
