@@ -87,3 +87,20 @@ def test_audits(spark):
     for r in quality.violations(faces, ["i"], quality.face_multiset_rules("f", "n", "m")).collect():
         bad.setdefault(r.i, set()).add(r.rule)
     assert 1 not in bad and bad[3] == {"faces_sorted", "face_count", "face_sizes", "face_sum"} and bad[2] >= {"faces_sorted", "face_sum"} and "face_sizes" in bad[4]
+
+
+def test_adjacent_pairs_across_partitions(spark):
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else f"g{rng.randrange(5)}", i, rng.choice("abc")) for i in range(3000)] + [(None, 1, "x"), (None, 2, None), ("lone", 1, "y")]
+    df = spark.createDataFrame(rows, "g string, i int, v string").repartition(7)
+    want = {}
+    for g, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(g, []).append(v)
+    pairs = sorted((str(g), str(a), str(b)) for g, vs in want.items() for a, b in zip(vs, vs[1:]))
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        got = sorted((str(r.g), str(r.v), str(r.nxt)) for r in stats.adjacent_pairs(df, ["g"], ["i"], "v", "nxt").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert got == pairs
+    assert stats.adjacent_pairs(df.limit(0), ["g"], ["i"], "v").count() == 0

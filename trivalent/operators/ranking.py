@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import to_long
+from .stats import join_groups, tie_ranks, to_long
 
 
 def leaderboards(df: DataFrame, key: str, metrics: list[str], top_k: int, groups: list[str] | None = None) -> DataFrame:
@@ -32,19 +32,23 @@ def stratified(strata: list[tuple[str, int, DataFrame]], key: str) -> DataFrame:
 
 
 def jitter(df: DataFrame, at: list[str], key: str, step: float) -> DataFrame:
-    """Centred offsets of rows that share a place: (position - (count - 1) / 2) * step, by rising key."""
-    same = Window.partitionBy(*at)
-    return df.withColumn("offset", (F.row_number().over(same.orderBy(key)) - 1 - (F.count("*").over(same) - 1) / 2.0) * step)
+    """Centred offsets of rows that share a place: (position - (count - 1) / 2) * step, by rising key.
+
+    Rows of equal key share their mean position; a place that very many rows share is spread over tasks.
+    """
+    ranks = tie_ranks(df, at, key).select(*at, key, F.col("less").alias("l__"), F.col("equal").alias("e__"), F.col("n").alias("n__"))
+    offset = (F.col("l__") + (F.col("e__") - 1) / 2.0 - (F.col("n__") - 1) / 2.0) * step
+    return join_groups(df, ranks, [*at, key]).select(*df.columns, offset.alias("offset"))
 
 
 def audit_sample(df: DataFrame, groups: list[str], key: str, seed: str, size: int, whole_up_to: int) -> DataFrame:
     """A repeatable sample: groups of at most ``whole_up_to`` rows whole, else first, last and ``size`` by hash."""
-    of = Window.partitionBy(*groups)
     h = F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in groups], F.col(key).cast("string")), 256)
-    ranked = df.withColumn("h__", h).withColumn("r__", F.row_number().over(of.orderBy("h__", key)))
+    order = Window.partitionBy(*groups).orderBy("h__", key)
+    picked = df.withColumn("h__", h).withColumn("r__", F.row_number().over(order)).where(F.col("r__") <= size).select(*df.columns)
     spans = df.groupBy(*groups).agg(F.count("*").alias("c__"), F.min(key).alias("a__"), F.max(key).alias("z__"))
-    kept = ranked.join(spans, groups).where((F.col("c__") <= whole_up_to) | (F.col("r__") <= size) | (F.col(key) == F.col("a__")) | (F.col(key) == F.col("z__")))
-    return kept.select(*df.columns)
+    ends = join_groups(df, spans, groups).where((F.col("c__") <= whole_up_to) | (F.col(key) == F.col("a__")) | (F.col(key) == F.col("z__"))).select(*df.columns)
+    return picked.unionByName(ends).distinct()
 
 
 def pruned(df: DataFrame, cap: str, cost: str, key: str, per_cap: int, overall: int) -> DataFrame:

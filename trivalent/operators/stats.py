@@ -187,3 +187,23 @@ def maximizers(df: DataFrame, groups: list[str], value: str, key: str) -> DataFr
     top = df.groupBy(*groups).agg(F.max(value).alias("maximum"), F.max(F.struct(value, key))[key].alias("last_key"))
     keyed = top.withColumnRenamed("maximum", "t__m")
     return join_groups(df, keyed, groups).where(F.col(value) == F.col("t__m")).groupBy(*groups, F.col("t__m").alias("maximum"), "last_key").agg(F.count("*").alias("attained"), F.min(key).alias("first_key"))
+
+
+def adjacent_pairs(df: DataFrame, groups: list[str], order: list[str], value: str, after: str = "next_value") -> DataFrame:
+    """(groups, value, after): each row's value with that of the row that follows it in its group.
+
+    Rows are range-partitioned by group and order; within a part the next row is at hand, and the last
+    row of a part is matched with the first one of the group's next part. So a group of any size is spread over many tasks.
+    The last row of a group has no pair. ``order`` should be total; null groups and null order values are kept, nulls first.
+    """
+    keys = [*groups, *order]
+    rows = df.select(*dict.fromkeys([*keys, value]))
+    parted = materialize(rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).withColumn("part__", F.spark_partition_id()), "ordered")
+    by = [F.col(c).asc_nulls_first() for c in order]
+    inner = Window.partitionBy(*groups, "part__").orderBy(*by)
+    marked = parted.withColumn("n__", F.lead(F.struct(F.col(value).alias("v"))).over(inner))
+    pairs = marked.where("n__ is not null").select(*groups, value, F.col("n__.v").alias(after))
+    place = F.struct(*order)
+    edges = parted.groupBy(*groups, "part__").agg(F.min_by(F.struct(F.col(value).alias("v")), place).alias("first__"), F.max_by(F.struct(F.col(value).alias("v")), place).alias("last__"))
+    across = edges.withColumn("n__", F.lead("first__").over(Window.partitionBy(*groups).orderBy("part__"))).where("n__ is not null")  # a row a part
+    return pairs.unionByName(across.select(*groups, F.col("last__.v").alias(value), F.col("n__.v").alias(after)))

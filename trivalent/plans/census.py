@@ -358,8 +358,8 @@ WITH {ONCE}, t AS (SELECT census_slice, property_satisfied AS state, lead(proper
 SELECT state, next_state, count(*) AS transitions FROM t WHERE next_state IS NOT NULL AND state IS NOT NULL GROUP BY 1, 2""")
 def state_transitions(spark: SparkSession, sf: str) -> DataFrame:
     """How often one verdict follows another along the generation order of a slice."""
-    after = F.lead("property_satisfied").over(Window.partitionBy("census_slice").orderBy("generation_index", "result_id"))
-    rows = runs_once(spark, sf).select(F.col("property_satisfied").alias("state"), after.alias("next_state")).where("state is not null and next_state is not null")
+    pairs = stats.adjacent_pairs(runs_once(spark, sf), ["census_slice"], ["generation_index", "result_id"], "property_satisfied", "next_state")
+    rows = pairs.withColumnRenamed("property_satisfied", "state").where("state is not null and next_state is not null")
     return rows.groupBy("state", "next_state").agg(F.count("*").alias("transitions"))
 
 

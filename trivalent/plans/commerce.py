@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, quality, ranking, separation, stats
@@ -65,8 +65,8 @@ def order_surprisal(spark: SparkSession, sf: str) -> DataFrame:
 WITH t AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events)
 SELECT event_type, next_type, count(*) AS transitions FROM t WHERE next_type IS NOT NULL GROUP BY ALL""")
 def event_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf, "events").select("event_type", after.alias("next_type")).where("next_type is not null").groupBy("event_type", "next_type").agg(F.count("*").alias("transitions"))
+    pairs = stats.adjacent_pairs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type", "next_type")
+    return pairs.groupBy("event_type", "next_type").agg(F.count("*").alias("transitions"))
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
