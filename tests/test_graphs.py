@@ -142,7 +142,10 @@ def test_double_ladder_of_three(spark):
     assert edges.count() == 24 and graph.validate(edges).first().valid
     found = cycles.hamiltonian_cycles(edges)
     assert found.count() == 14 == grid.select(ladder.cycle_count(F.col("a"), F.col("b"))).first()[0]
-    pairs = separation.class_pairs(separation.signature_classes(cycle_rows(spark, found), edges)).cache()
+    rows = cycle_rows(spark, found)
+    classes = {r["class"]: r["count"] for r in ladder.classify_cycles(rows, grid).groupBy("class").count().collect()}
+    assert classes == {"all_rails": 1, "paired_cell_turns": 9, "two_connector_exception": 4}
+    pairs = separation.class_pairs(separation.signature_classes(rows, edges)).cache()
     assert separation.coverage(pairs).first().separated_pairs == 552
     assert separation.minimum_cover(pairs).first().cover_size == 12
 

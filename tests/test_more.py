@@ -82,3 +82,13 @@ def test_sequences_controls_and_crossings(spark):
     assert {tuple(r) for r in picked.collect()} == {("least_a", "x"), ("most_b", "z")}
     seg = spark.createDataFrame([("g", 1, 0, 1, 0.0, 0.0, 2.0, 2.0), ("g", 2, 2, 3, 0.0, 2.0, 2.0, 0.0), ("g", 3, 0, 4, 0.0, 0.0, 0.0, 9.0)], "graph string, id int, u int, v int, x1 double, y1 double, x2 double, y2 double")
     assert geometry.crossings(seg).first().crossings == 1
+
+
+def test_witness_cover_and_packing_summary(spark):
+    rows = [("g", 1, [3, 2]), ("g", 2, [3]), ("g", 3, [2, 9]), ("g", 4, []), ("h", 1, [])]
+    df = spark.createDataFrame(rows, "graph string, item int, support array<int>")
+    got = [tuple(r) for r in separation.witness_cover(df).orderBy("step").collect()]
+    assert got == [("g", 1, 1, 2, 2), ("g", 2, 2, 3, 1)]
+    assert separation.witness_cover(df.where("graph = 'h'")).count() == 0
+    s = {r.graph: (r.supports, r.members, r.distinct_members, r.disjoint) for r in separation.packing_summary(spark.createDataFrame([("a", [1, 2]), ("a", [3]), ("b", [1, 2]), ("b", [2])], "graph string, support array<int>")).collect()}
+    assert s == {"a": (2, 3, 3, True), "b": (2, 3, 2, False)}

@@ -47,6 +47,11 @@ def family_edges(grid: DataFrame) -> DataFrame:
 
 def vertex_edges(grid: DataFrame) -> DataFrame:
     """(graph, u, v) of each D(a, b) over vertices 0..2(a+b)+3: ladder A first, two vertices a boundary."""
+    return coordinates(grid).select("graph", "u", "v")
+
+
+def coordinates(grid: DataFrame) -> DataFrame:
+    """(graph, u, v, ladder, kind, cell, side): ``vertex_edges`` with each edge's place."""
     a, b, cell, side = F.col("a"), F.col("b"), F.col("cell"), F.col("side")
     base = F.when(F.col("ladder") == "A", F.lit(0)).otherwise(2 * (a + 1))
     at = lambda ladder, boundary, rail: (0 if ladder == "A" else 2 * (a + 1)) + 2 * boundary + rail
@@ -56,7 +61,25 @@ def vertex_edges(grid: DataFrame) -> DataFrame:
     for i, (x, y) in enumerate(ends):
         hit = (F.col("kind") == "connector") & (cell == i)
         u, v = F.when(hit, x).otherwise(u), F.when(hit, y).otherwise(v)
-    return family_edges(grid).select(F.struct("a", "b").alias("graph"), F.least(u, v).cast("bigint").alias("u"), F.greatest(u, v).cast("bigint").alias("v"))
+    place = [F.struct("a", "b").alias("graph"), F.least(u, v).cast("bigint").alias("u"), F.greatest(u, v).cast("bigint").alias("v")]
+    return family_edges(grid).select(*place, "ladder", "kind", "cell", "side")
+
+
+def classify_cycles(cycle_edges: DataFrame, grid: DataFrame) -> DataFrame:
+    """(graph, cycle_id, class): all_rails, paired_cell_turns, two_connector_exception or unclassified.
+
+    ``cycle_edges`` has (graph, cycle_id, u, v). A cycle through all connectors either takes every rail and no
+    rung, or leaves out both rails of just one cell of each ladder and takes that cell's rungs.
+    """
+    place = coordinates(grid)
+    own = cycle_edges.join(place, ["graph", "u", "v"])
+    rail = lambda name: F.count_if((F.col("kind") == "rail") & (F.col("ladder") == name))
+    seen = own.groupBy("graph", "cycle_id").agg(F.count_if(F.col("kind") == "connector").alias("connectors"), F.count_if(F.col("kind") == "rung").alias("rungs"), rail("A").alias("ra"), rail("B").alias("rb"))
+    a, b, c = F.col("graph.a"), F.col("graph.b"), F.col("connectors")
+    whole = (c == 4) & (F.col("ra") == 2 * a) & (F.col("rb") == 2 * b) & (F.col("rungs") == 0)
+    turn = (c == 4) & (F.col("ra") == 2 * a - 2) & (F.col("rb") == 2 * b - 2) & (F.col("rungs") == 4)
+    kind = F.when(whole, "all_rails").when(turn, "paired_cell_turns").when(c == 2, "two_connector_exception").otherwise("unclassified")
+    return seen.select("graph", "cycle_id", kind.alias("class"))
 
 
 def symbolic_family(grid: DataFrame) -> DataFrame:

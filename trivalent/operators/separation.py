@@ -140,3 +140,29 @@ def sperner_bound(edges: int) -> int:
     while edges > 1 and comb(k, k // 2) < edges:
         k += 1
     return k
+
+
+def witness_cover(supports: DataFrame) -> DataFrame:
+    """(graph, step, item, cycle_id, certified): query by query, the least uncertified item gets its least cycle, which certifies all it can.
+
+    ``supports`` has (graph, item, support): the cycles that certify an item. Items without a cycle are left
+    uncertified; a graph is done when only such are left. One step of every graph a round.
+    """
+    left = materialize(supports.where("size(support) > 0").select("graph", "item", "support"), "uncertified")
+    out, step = None, 0
+    while not left.isEmpty():
+        step += 1
+        first = left.groupBy("graph").agg(F.min(F.struct("item", F.array_min("support").alias("cycle_id"))).alias("f")).select("graph", F.col("f.item").alias("first"), "f.cycle_id")
+        hit = left.join(first, "graph").withColumn("hit", F.array_contains("support", F.col("cycle_id")))
+        now = materialize(hit.where("hit").groupBy("graph", F.lit(step).alias("step"), F.col("first").alias("item"), "cycle_id").agg(F.count("*").alias("certified")), "witness")
+        out = now if out is None else out.unionByName(now)
+        last, left = left, materialize(hit.where(~F.col("hit")).select("graph", "item", "support"), "uncertified")
+        discard(last)
+    return out if out is not None else left.select("graph", F.lit(0).alias("step"), "item", F.array_min("support").alias("cycle_id"), F.lit(0).cast("bigint").alias("certified"))
+
+
+def packing_summary(supports: DataFrame) -> DataFrame:
+    """(graph, supports, members, distinct_members, largest, disjoint) of a family of supports (graph, support)."""
+    size = supports.groupBy("graph").agg(F.count("*").alias("supports"), F.sum(F.size("support")).alias("members"), F.max(F.size("support")).alias("largest"))
+    once = supports.select("graph", F.explode("support").alias("c")).groupBy("graph").agg(F.countDistinct("c").alias("distinct_members"))
+    return size.join(once, "graph").withColumn("disjoint", F.col("members") == F.col("distinct_members"))
