@@ -92,3 +92,11 @@ def test_witness_cover_and_packing_summary(spark):
     assert separation.witness_cover(df.where("graph = 'h'")).count() == 0
     s = {r.graph: (r.supports, r.members, r.distinct_members, r.disjoint) for r in separation.packing_summary(spark.createDataFrame([("a", [1, 2]), ("a", [3]), ("b", [1, 2]), ("b", [2])], "graph string, support array<int>")).collect()}
     assert s == {"a": (2, 3, 3, True), "b": (2, 3, 2, False)}
+
+
+def test_structural_packings_prove_the_separation_number(spark):
+    grid = spark.createDataFrame([(a, b) for a in (3, 5, 7) for b in (3, 5, 7, 9)], "a int, b int")
+    sizes = {(r.a, r.b): r["count"] for r in ladder.structural_packing(grid).groupBy("a", "b").count().collect()}
+    assert all(n == ((a + 2) * (b + 2) - 1) // 2 for (a, b), n in sizes.items()) and len(sizes) == 12
+    for r in separation.packing_summary(ladder.packing_supports(grid)).collect():
+        assert r.disjoint and r.supports == sizes[r.graph.a, r.graph.b] and r.largest == 2 if r.graph.a > 3 or r.graph.b > 3 else r.disjoint
