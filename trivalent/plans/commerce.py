@@ -133,7 +133,7 @@ SELECT x AS node, min(y) AS component FROM r GROUP BY 1""")
 def purchase_components(spark: SparkSession, sf: str) -> DataFrame:
     """Users and days linked by purchases: connected components of one large graph."""
     e = table(spark, sf, "events").where("event_type = 'purchase'")
-    day = F.floor(F.unix_timestamp("ts") / 86400)
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01"))
     return graph.components(e.select(F.lit("events").alias("graph"), (F.col("user_id") * 2).alias("u"), (day * 2 + 1).alias("v"))).select("node", "component")
 
 
