@@ -58,6 +58,26 @@ def test_a_leak_in_very_many_pages_keeps_its_seeds(spark):
     assert {r.doc_id for r in got.collect()} == set(range(300))
 
 
+def test_short_leaks_in_the_midst_of_an_item(spark):
+    """Passages of 12 short words from every place of an item, a page each, clean and with two misread letters."""
+    rng = random.Random(8)
+    short = "cat dog hat sun box pig hen cow red wet big dry old met saw hit cut had one her his the a by".split()
+    said = lambda n: " ".join(rng.choice(short) for _ in range(n))
+    items = [(i, said(40)) for i in range(30)]
+    docs, want = [], set()
+    for i, t in items:
+        at = i % 28
+        s = list(" ".join(t.split()[at : at + 12]))
+        if i % 2:
+            for k in (len(s) // 6, len(s) // 3):
+                s[k] = s[k] if s[k] == " " else "x"
+        docs.append(page(i, f"{text(rng, 30)} {''.join(s)} {text(rng, 30)}"))
+        want.add((i, i))
+    docs += [page(10_000 + i, text(rng, 80)) for i in range(30)]
+    got = leak.leaked_pages(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     rng = random.Random(5)
     items = [(i, text(rng, 25)) for i in range(12)]

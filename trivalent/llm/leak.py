@@ -1,10 +1,10 @@
 """Problem 7: passages of evaluation items inside a corpus of scanned pages.
 
-1. Every page is brought into reading order and to its bare letters; in the same pass each partition
-   counts in how many pages each letter n-gram of the items occurs.
-2. Of each stretch of an item the rarer half of its n-grams become seeds. Rarity is relative within
-   the stretch, so an item that leaked a million times keeps its seeds.
-3. Seeds join pages to items; seeds that agree on one diagonal make a candidate.
+1. Every page is brought into reading order and to its bare letters.
+2. Every letter n-gram of an item is a seed, so a leak of any part has all of its seeds, however often
+   it leaked. Seeds join pages to items; seeds that agree on one diagonal make a candidate.
+3. A candidate goes on if near its seeds, within 48 letters, page and item share as many 4-grams as
+   the shortest leak with three misread letters does; that leaves out common phrases.
 4. A banded Smith-Waterman alignment of each candidate's letters finds the longest run of whole words
    that the page holds, whatever the scan did to single letters.
 
@@ -17,15 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .pages import joined_text, letters, page_frame, pages
 
 GRAM = 12
-STRETCH = 48  # letters of an item within which the rarer half of the n-grams are seeds
-LEAST_SEEDS = 6
+LEAST_SEEDS = 4  # on one diagonal; the shortest leaks of 12 words hold so many with two misread letters
+BLOCK, NEAR, SHIFT, LEAST_FOURS = 64, 48, 3, 22  # letters of an item looked at together, of a stretch, to either side of the diagonal; 4-grams shared
 BAND = 16
 MATCH, OTHER, GAP = 2, -3, -3
 SLACK = 5
@@ -67,78 +66,80 @@ class SeedIndex:
         same = self.gram[k] == g[at]
         return at[same], k[same]
 
-    def candidates(self, g: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-        """(item, diagonal, seeds) of the diagonals with at least so many seeds."""
+    def candidates(self, g: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Item, diagonal, seeds and one seed's block of the diagonals with at least so many seeds; a row for each block of the item that has some."""
         at, k = self.find(g)
-        if len(at) < least:
-            return []
         n = self.first[k + 1] - self.first[k]
-        idx = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item, diag = self.item[idx].astype(np.int64), np.repeat(at, n) - self.pos[idx]
-        order = np.lexsort((diag, item))
-        item, diag = item[order], diag[order]
-        cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > BAND // 2), [True])))
+        idx = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else at
+        pos = self.pos[idx].astype(np.int64)
+        key = (self.item[idx].astype(np.int64) << 32) + np.repeat(at, n) - pos + (1 << 31)
+        order = np.argsort(key, kind="stable")
+        key, block = key[order], pos[order] // BLOCK
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(key) > BAND // 2, [True]))) if len(key) else np.zeros(1, np.int64)
         sizes = np.diff(cut)
-        return [(int(item[a]), int(diag[a + s // 2]), int(s)) for a, s in zip(cut[:-1][sizes >= least], sizes[sizes >= least])]
+        enough = sizes >= least
+        cluster = np.repeat(np.cumsum(enough) - 1, sizes)[np.repeat(enough, sizes)]
+        wide = np.unique((cluster << 32) + block[np.repeat(enough, sizes)])
+        cluster, block = wide >> 32, wide & 0xFFFFFFFF
+        mid = key[cut[:-1][enough] + sizes[enough] // 2][cluster]
+        return mid >> 32, (mid & 0xFFFFFFFF) - (1 << 31), sizes[enough][cluster], block
+
+
+class Letters:
+    """The letters of all items in one array, items by place."""
+
+    def __init__(self, words: dict[int, list[bytes]]) -> None:
+        self.ids = np.array(sorted(words), dtype=np.int64)
+        texts = [b"".join(words[i]) for i in self.ids.tolist()]
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        side = 3 * BLOCK  # so that blocks may reach beyond their item
+        self.start = np.concatenate(([0], np.cumsum(self.size + 2 * side)[:-1])) + side
+        self.text = np.frombuffer(b"".join(bytes(side) + t + bytes(side) for t in texts), dtype=np.uint8)
+
+    def close(self, page: bytes, item: np.ndarray, diag: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Which candidates share enough 4-grams with the page within ``NEAR`` letters, around their block of seeds."""
+        begin, width = (block - 1) * BLOCK, 3 * BLOCK
+        own = self.text[(self.start[item] + begin)[:, None] + np.arange(width)]
+        side = width + SHIFT
+        padded = np.concatenate((np.full(side, 1, np.uint8), np.frombuffer(page, np.uint8), np.full(side, 1, np.uint8)))
+        first = begin + diag + side - SHIFT
+        row = first[:, None] + np.arange(width + 2 * SHIFT)
+        near = padded[np.clip(row, 0, len(padded) - 1)]
+        fours = np.zeros((len(item), width - 3), dtype=bool)
+        for s in range(2 * SHIFT + 1):
+            same = near[:, s : s + width] == own
+            two = same[:, :-1] & same[:, 1:]
+            fours |= two[:, :-2] & two[:, 2:]
+        sums = np.zeros((len(item), width - 2), dtype=np.int16)
+        np.cumsum(fours, axis=1, dtype=np.int16, out=sums[:, 1:])
+        return (sums[:, NEAR:] - sums[:, :-NEAR]).max(axis=1) >= LEAST_FOURS
 
 
 def item_words(text: str | None) -> list[bytes]:
     return [w for w in map(letters, (text or "").split()) if w]
 
 
-def item_grams(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, pos, gram) of all items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = grams(b"".join(item_words(t)))
-                if len(g):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(g), i), pa.int64()), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g.view(np.int64))], names=["item_id", "pos", "gram"]
-                    )
-
-    slim = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    return slim.mapInArrow(run, "item_id long, pos int, gram long").distinct()
+def seed_index(all_letters: Letters) -> SeedIndex:
+    """All n-grams of the items, with the items by place."""
+    each = [grams(all_letters.text[a : a + n].tobytes()) for a, n in zip(all_letters.start, all_letters.size)]
+    sizes = [len(g) for g in each]
+    return SeedIndex(np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.int32), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
 
 
-def _count_pages(index_of):
-    """Pages -> their letters (gram null), and per partition the number of pages of each item n-gram."""
-
+def _seek(index_of, letters_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of.value
-        seen = np.zeros(len(index.gram), dtype=np.int64)
-        names = ["doc_id", "letters", "gram", "n"]
+        index, known = index_of.value, letters_of.value
         for b in batches:
-            ids, texts = [], []
+            out = []
             for d, lines in pages(b):
                 s = letters(joined_text(lines))
-                if len(s) >= GRAM:
-                    ids.append(d)
-                    texts.append(s)
-                    _, k = index.find(grams(s))
-                    if len(k):
-                        seen[np.unique(k)] += 1
-            if ids:
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), none, none], names=names)
-        hit = np.flatnonzero(seen)
-        if len(hit):
-            none = pa.nulls(len(hit), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(hit), pa.binary()), pa.array(index.gram[hit].view(np.int64)), pa.array(seen[hit])], names=names)
-
-    return run
-
-
-def _seek(index_of, lengths_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, lengths = index_of.value, lengths_of.value
-        for b in batches:
-            out = []
-            for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for item, diag, seeds in index.candidates(grams(s), LEAST_SEEDS):
-                    a = max(0, diag - BAND)
-                    out.append((d, item, diag - a, seeds, s[a : max(0, diag) + lengths[item] + BAND]))
+                item, diag, seeds, block = index.candidates(grams(s), LEAST_SEEDS)
+                if not len(item):
+                    continue
+                close = known.close(s, item, diag, block)
+                for i, g, n in sorted(set(zip(item[close].tolist(), diag[close].tolist(), seeds[close].tolist()))):
+                    a = max(0, g - BAND)
+                    out.append((d, int(known.ids[i]), g - a, n, s[a : max(0, g + int(known.size[i]) + BAND)]))
             if out:
                 cols = list(zip(*out))
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -265,19 +266,11 @@ def leaked_pages(documents: DataFrame, items: DataFrame, item_id: str = "item_id
         own = slim.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == block) if blocks > 1 else slim
         words = {i: w for i, t in _items_of(own, "item_id", "text") if len(w := item_words(t)) >= least_words}
         words_of = sc.broadcast(words)
-        lengths_of = sc.broadcast({i: sum(map(len, w)) for i, w in words.items()})
-        table = item_grams(own, "item_id", "text")
-        every = table.toPandas()
-        if not len(every) or not words:
+        if not words:
             continue
-        index_of = sc.broadcast(SeedIndex(every["gram"].to_numpy().view(np.uint64), every["item_id"].to_numpy(), every["pos"].to_numpy()))
-        read = materialize(page_frame(documents).mapInArrow(_count_pages(index_of), "doc_id long, letters binary, gram long, n long"), "letters")
-        pages_with = read.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-        stretch = Window.partitionBy("item_id", F.floor(F.col("pos") / STRETCH)).orderBy(F.coalesce("n", F.lit(0)))
-        seeds = table.join(pages_with, "gram", "left").withColumn("rank", F.percent_rank().over(stretch)).where("rank <= 0.5").select("item_id", "pos", "gram").toPandas()
-        seeds = seeds[seeds["item_id"].isin(list(words))]
-        seeds_of = sc.broadcast(SeedIndex(seeds["gram"].to_numpy().view(np.uint64), seeds["item_id"].to_numpy(), seeds["pos"].to_numpy()))
-        sought = read.where("letters is not null").select("doc_id", "letters").mapInArrow(_seek(seeds_of, lengths_of), "doc_id long, item_id long, diag int, seeds int, piece binary")
+        known = Letters(words)
+        index_of, letters_of = sc.broadcast(seed_index(known)), sc.broadcast(known)
+        sought = page_frame(documents).mapInArrow(_seek(index_of, letters_of), "doc_id long, item_id long, diag int, seeds int, piece binary")
         checked = sought.repartition("doc_id", "item_id").select("doc_id", "item_id", "diag", "piece").mapInArrow(_verify(words_of, least_words), "doc_id long, item_id long, words int")
         parts.append(checked)
     if not parts:
