@@ -86,3 +86,16 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(leak, "BLOCK_LETTERS", 700)
     assert {(r.doc_id, r.item_id) for r in leak.leaked_pages(df, its).collect()} == {(i, i) for i, _ in items}
     assert leak.leaked_pages(df.limit(0), its).count() == 0 and leak.leaked_pages(df, its.limit(0)).count() == 0
+
+
+def test_adverts_inside_a_leak(spark):
+    """16 words of an item in full lines, an advert in their midst: of the kinds in the data and of an unknown one."""
+    rng = random.Random(9)
+    adverts = ["LOST near Fenby,\na small purse.\nReward 5s. 1d.", "Dr. Lomvell's PILLS\nfor all ills.\n67 cured in a week.\nPrice 14s. 6d.", "FOUND at Fenby,\na grey parrot.\nAsk at the inn."]
+    items = [(i, text(rng, 30)) for i in range(len(adverts))]
+    docs = []
+    for (i, t), a in zip(items, adverts):
+        w = t.split()
+        docs.append(page(i, "\n".join([text(rng, 8), " ".join(w[4:12]), a, " ".join(w[12:20]), text(rng, 8), text(rng, 8)])))
+    got = leak.leaked_pages(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.words) for r in got.collect()} == {(i, i, 16) for i, _ in items}

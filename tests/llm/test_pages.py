@@ -21,3 +21,23 @@ def test_odd_pages():
     assert len(pages.article_lines("\n".join(["a line of text"] * 50_000), [], [], [], 1)) == 50_000
     merged = pages.article_lines("aa        bb\ncc        dd", [10, 10], [1, 2], [200, 200], 2)
     assert merged == ["aa", "cc", "bb", "dd"]
+
+
+def test_every_kind_of_advert():
+    adverts = [
+        "TO LET, two rooms,\nSilworth Lane, No. 96.\nRent 19s. 4d. weekly.", "** SALE **\nat Norton's\nThis week only!\n12s. 3d.", "WANTED, a strong lad\nto carry boots.\nApply Box 28.",
+        "Try Norton's famed\nboots. Sold by all\ngrocers, 3s. 4d.", "NORTON & SONS\ndealers in boots\n7 High St.", "BOOTS! BOOTS!\nBest in Norton\nonly 3s. 4d.",
+        "LOST near Fenby,\na small purse.\nReward 5s. 1d.", "Dr. Lomvell's PILLS\nfor all ills.\n67 cured in a week.\nPrice 14s. 6d.",
+    ]
+    before, after = ["That narrow river planted his heavy ticket,", "while one late"], ["settlement reached the shoe behind a garden", "and the long engine stood against his milk."]
+    for a in adverts:
+        assert pages.article_lines("\n".join([*before, a, *after]), [], [], [], 1) == before + after, a
+
+
+def test_unknown_adverts_are_read_both_ways():
+    before, after = ["That narrow river planted his heavy ticket,", "while his own", "one."], ["settlement reached the shoe behind a garden", "and the long engine stood against his milk."]
+    unknown = ["FOUND at Fenby,", "a grey parrot.", "Ask at the inn."]
+    lines = [before[0], "and a cold wind met them on the long road", "late.", *unknown, *after]
+    assert pages.article_readings("\n".join(lines), [], [], [], 1) == [lines, lines[:3] + after]
+    assert pages.article_readings("\n".join(before + after), [], [], [], 1) == [before + after]
+    assert pages.article_readings(None, [], [], [], 1) == [[]]

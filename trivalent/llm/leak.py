@@ -1,6 +1,7 @@
 """Problem 7: passages of evaluation items inside a corpus of scanned pages.
 
-1. Every page is brought into reading order and to its bare letters.
+1. Every page is brought into reading order and to its bare letters; a page on which adverts can be
+   recognised by layout as well as by cues is read both ways.
 2. Every letter n-gram of an item is a seed, so a leak of any part has all of its seeds, however often
    it leaked. Seeds join pages to items; seeds that agree on one diagonal make a candidate.
 3. A candidate goes on if near its seeds, within 48 letters, page and item share as many 4-grams as
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pages import joined_text, letters, page_frame, pages
+from .pages import article_readings, joined_text, letters, page_frame, pages
 
 GRAM = 12
 LEAST_SEEDS = 4  # on one diagonal; the shortest leaks of 12 words hold so many with two misread letters
@@ -131,8 +132,7 @@ def _seek(index_of, letters_of):
         index, known = index_of.value, letters_of.value
         for b in batches:
             out = []
-            for d, lines in pages(b):
-                s = letters(joined_text(lines))
+            for d, s in ((d, letters(joined_text(lines))) for d, found in pages(b, article_readings) for lines in found):
                 item, diag, seeds, block = index.candidates(grams(s), LEAST_SEEDS)
                 if not len(item):
                     continue

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 #: Cues of small adverts (prices, offers, addresses). A parameter of ``article_lines``.
 ADVERT_CUES = (
     r"^\d+s\. ?\d+d\.?$|^(from|rent|only|grocers,) \d+s\b|\bsale\b.*\*|\*.*\bsale\b|& sons\b|^to let\b|^wanted,|^apply box\b|^no agents\b|"
-    r"'s famed$|\bsold by all$|^\d+ high st\b|^best in\b|^dealers in\b|^this week only\b|\blane, no\. ?\d|^(\w+)! \2!?$"
+    r"'s famed$|\bsold by all$|^\d+ high st\b|^best in\b|^dealers in\b|^this week only\b|\blane, no\. ?\d|^(\w+)! \2!?$|"
+    r"^lost near\b|^a small purse\b|^reward \w+s\. ?\w+d\b|^dr\. ?\w+'?s pills\b|^for all ills\b|^\w+ cured in a\b|^price \w+s\. ?\w+d\b"
 )
 ADVERT_LINE = 26  # letters; longer lines are no advert lines
 _GAP = re.compile(r"\s{3,}")
@@ -90,14 +91,44 @@ def without_adverts(lines: list[str], cues: re.Pattern) -> list[str]:
     return [s for i, s in enumerate(lines) if i not in drop]
 
 
+def without_short_runs(lines: list[str]) -> list[str]:
+    """Drop runs of three or more short lines between full ones, as adverts of any kind stand; a first line in small letters ends a paragraph and stays."""
+    full = sorted(map(len, lines))[len(lines) * 3 // 4] if lines else 0
+    short = [len(s) <= min(ADVERT_LINE, 0.7 * full) for s in lines]
+    out, i = [], 0
+    while i < len(lines):
+        end = i
+        while end < len(lines) and short[end]:
+            end += 1
+        first = i + (end > i and lines[i][0].islower())
+        if i and end < len(lines) and end - first >= 3:
+            out += lines[i:first]
+            i = end
+        else:
+            out += lines[i : end + 1]
+            i = end + 1
+    return out
+
+
 _CUES = re.compile(ADVERT_CUES)
 
 
+def article_readings(text: str | None, x0: list[int], y0: list[int], x1: list[int], columns: int | None, cues: re.Pattern = _CUES) -> list[list[str]]:
+    """``article_lines``, and where it differs the same with adverts recognised by layout too, which may take headings and short lines along."""
+    lines = _ordered_lines(text, x0, y0, x1, columns)
+    first, second = without_adverts(lines, cues), without_adverts(without_short_runs(lines), cues)
+    return [first] if second == first else [first, second]
+
+
 def article_lines(text: str | None, x0: list[int], y0: list[int], x1: list[int], columns: int | None, cues: re.Pattern = _CUES) -> list[str]:
     """A page's article lines in their printed order, without running head and adverts.
 
     A null or empty text has none. Where boxes and lines don't match, the text's own order holds.
     """
+    return without_adverts(_ordered_lines(text, x0, y0, x1, columns), cues)
+
+
+def _ordered_lines(text: str | None, x0: list[int], y0: list[int], x1: list[int], columns: int | None) -> list[str]:
     if not text:
         return []
     lines = text.split("\n")
@@ -106,7 +137,7 @@ def article_lines(text: str | None, x0: list[int], y0: list[int], x1: list[int],
     lines = lines[head:]
     if boxed and columns and columns > 1:
         lines = reading_order(lines, x0[head:], y0[head:], x1[head:], columns)
-    return without_adverts([s for s in (s.strip() for s in lines) if s], cues)
+    return [s for s in (s.strip() for s in lines) if s]
 
 
 def joined_text(lines: list[str]) -> str:
@@ -136,8 +167,8 @@ def page_frame(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("column_count").cast("int").alias("column_count"), *box, *more)
 
 
-def pages(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-    """(doc_id, article lines) of a batch of ``page_frame``."""
+def pages(batch: pa.RecordBatch, read=article_lines) -> Iterator[tuple[int, list]]:
+    """(doc_id, article lines, or what else ``read`` gives) of a batch of ``page_frame``."""
     ids, texts, counts = (batch.column(i).to_pylist() for i in range(3))
     flat = [(c.offsets.to_pylist(), c.values.to_pylist()) for c in (batch.column(i) for i in (3, 4, 5))]
     for k, (d, t, c) in enumerate(zip(ids, texts, counts)):
@@ -145,4 +176,4 @@ def pages(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
             yield d, []
             continue
         box = [v[o[k] : o[k + 1]] for o, v in flat] if c and c > 1 else [[], [], []]
-        yield d, article_lines(t, *box, c)
+        yield d, read(t, *box, c)
