@@ -181,3 +181,25 @@ def test_paths_degrees_and_audits(spark):
 def test_irredundant_family(spark):
     rows = spark.createDataFrame([("g", 1, "a"), ("g", 1, "b"), ("g", 2, "a"), ("g", 3, "b"), ("g", 3, "c")], "graph string, cycle_id int, item string")
     assert sorted(r.cycle_id for r in separation.irredundant(rows).collect()) == [2, 3]
+
+
+def test_constraints_of_graphs_without_a_witness(spark, monkeypatch):
+    """Every constraint counts, by its latest row; without a kept witness none is satisfied."""
+    from datetime import datetime
+
+    from trivalent.plans import graphs
+
+    at = lambda d: datetime(2025, 1, d)
+    rows = [
+        ("primary", "AA ", "x", 1, [[1, 0]], None, at(2)), ("primary", "aa", "x", 1, [[0, 2]], None, at(1)),  # replaced
+        ("primary", "aa", "x", 2, [[0, 2]], [], at(3)), ("primary", "aa", "x", 2, [[0, 1]], [], at(1)), ("primary", "aa", "y", 3, None, [[0, 1]], at(1)),
+        ("primary", "bb", "x", 1, [[0, 1]], None, at(1)), ("primary", "bb", "x", 2, None, None, at(1)), ("mirror", "cc", "x", 1, [[0, 1]], None, at(1)),
+    ]
+    cons = spark.createDataFrame(rows, "held_by string, graph_hash string, analysis string, constraint_index int, required_edges array<array<int>>, forbidden_edges array<array<int>>, copied_at timestamp")
+    held = spark.createDataFrame([("r", 0, [0, 1, 2, 3], "aa"), ("r", 1, [0, 1, 3, 2], "zz")], "graph string, cycle_id int, cycle array<int>, graph_hash string")
+    monkeypatch.setattr(graphs, "table", lambda *_: cons)
+    monkeypatch.setattr(graphs, "witness_cycles", lambda *_: held)
+    for parts in (1, 7):
+        monkeypatch.setattr(graphs, "table", lambda *_, n=parts: cons.repartition(n))
+        got = {tuple(r) for r in graphs.constraints_met_by_witnesses(spark, "").collect()}
+        assert got == {("aa", "x", 2, 1), ("aa", "y", 1, 0), ("bb", "x", 2, 0)}

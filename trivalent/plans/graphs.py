@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cycle_edges, norm_hash
 from ..operators import cycles, graph, separation
 from ..operators.nested import shred
+from ..operators.reconcile import latest_per_key
 from ..session import materialize, table
 
 Q: dict = {}
@@ -124,10 +125,11 @@ def witness_covers(spark: SparkSession, sf: str) -> DataFrame:
 def constraints_met_by_witnesses(spark: SparkSession, sf: str) -> DataFrame:
     """Per graph and analysis: review constraints, and how many of them some kept witness satisfies."""
     pair = lambda c: F.transform(F.coalesce(c, F.array().cast("array<array<int>>")), lambda e: F.struct(F.least(F.get(e, F.lit(0)), F.get(e, F.lit(1))).alias("u"), F.greatest(F.get(e, F.lit(0)), F.get(e, F.lit(1))).alias("v")))
-    cons = table(spark, sf, "review_constraints").where("held_by = 'primary'").select(norm_hash("graph_hash").alias("graph_hash"), "analysis", "constraint_index", pair(F.col("required_edges")).alias("required"), pair(F.col("forbidden_edges")).alias("forbidden"))
-    cons = cons.dropDuplicates(["graph_hash", "constraint_index"])
-    held = witness_cycles(spark, sf).select("graph_hash", cycle_edges("cycle").alias("selected"))
-    met = cons.join(held, "graph_hash").groupBy("graph_hash", "analysis", "constraint_index").agg(F.bool_or(cycles.satisfies(F.col("selected"), F.col("required"), F.col("forbidden"))).alias("met"))
+    cons = table(spark, sf, "review_constraints").where("held_by = 'primary'").select(norm_hash("graph_hash").alias("graph_hash"), "constraint_index", "copied_at", "analysis", "required_edges", "forbidden_edges")
+    cons = latest_per_key(cons, ["graph_hash", "constraint_index"], "copied_at").select("graph_hash", "analysis", "constraint_index", pair(F.col("required_edges")).alias("required"), pair(F.col("forbidden_edges")).alias("forbidden"))
+    held = witness_cycles(spark, sf).select(norm_hash("graph_hash").alias("graph_hash"), cycle_edges("cycle").alias("selected"))
+    fits = F.coalesce(cycles.satisfies(F.col("selected"), F.col("required"), F.col("forbidden")), F.lit(False))
+    met = cons.join(held, "graph_hash", "left").groupBy("graph_hash", "analysis", "constraint_index").agg(F.bool_or(F.col("selected").isNotNull() & fits).alias("met"))
     return met.groupBy("graph_hash", "analysis").agg(F.count("*").alias("constraints"), F.count_if("met").alias("satisfied"))
 
 
