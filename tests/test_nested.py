@@ -51,7 +51,35 @@ def test_repeated_lines_and_parents(spark):
     text = json.dumps(BASE | {"all_edge_pairs": {"witnesses": [{"cycle": [1, 2, 3], "newly_certified_constraints": 4}] * 2}, "big": "x" * 200_000})
     df = spark.createDataFrame([(7, 1, text)] * 3, "line_no long, record_id long, record_json string")
     t = nested.shred(df)
-    assert t["witness"].count() == 2 and t["cycle"].count() == 2 and t["record"].first().payload.canonical_graph_hash == "ab"
-    keys = {(r.pk, r.parent_pk) for r in t["cycle"].collect()}
-    assert keys == {("all_edge_pairs/w0/c", "all_edge_pairs/w0"), ("all_edge_pairs/w1/c", "all_edge_pairs/w1")}
-    assert {r.pk for r in t["witness"].collect()} == {p for _, p in keys}
+    assert t["witness"].count() == 2 and t["cycle"].count() == 2
+    record, analysis = t["record"].first(), t["analysis"].first()
+    assert record.payload.canonical_graph_hash == "ab" and json.loads(record.payload.others["big"]) == "x" * 200_000
+    assert (record.pk, record.parent_pk, analysis.pk, analysis.parent_pk) == (0, None, 1, 0)
+    assert {r.parent_pk for r in t["witness"].collect()} == {1}
+    assert {r.parent_pk for r in t["cycle"].collect()} == {r.pk for r in t["witness"].collect()}
+
+
+def test_witnesses_of_one_place_are_all_kept(spark):
+    same = {"witness_index": 0, "cycle": [1, 2, 3], "newly_certified_constraints": 4}
+    text = json.dumps(BASE | {"all_edge_pairs": {"witnesses": [same, same | {"cycle": [3, 4, 5]}, same, {"witness_index": 3, "trigger_key": [[1, 2], [3, 4]], "certificate_hash": " AA ", "seconds": 0.5}]}})
+    t = nested.shred(spark.createDataFrame([(7, 1, text)], "line_no long, record_id long, record_json string"))
+    assert sorted((r.place, r.payload.newly_certified_constraints) for r in t["witness"].collect() if r.place == 0) == [(0, 4), (0, 4)]
+    assert sorted((r.place, r.payload.v) for r in t["cycle"].collect()) == [(0, [1, 2, 3]), (0, [3, 4, 5])]
+    last = t["witness"].where("place = 3").first().payload
+    assert (last.trigger_key, last.certificate_hash, last.newly_certified_constraints, dict(last.others)) == ("[[1,2],[3,4]]", "aa", None, {"seconds": "0.5", "witness_index": "3"})
+    keys = [r.pk for tag in t for r in t[tag].collect()]
+    assert len(keys) == len(set(keys))
+
+
+def test_wrappers_of_any_depth_and_members_of_any_kind(spark):
+    deep = BASE | {"all_edge_pairs": {"graph_order": "8", "property_satisfied": "true", "median_query_time_seconds": "0.25", "hardest_ordered_pair": [[1, None, 7], {"v": 5}], "witnesses": [{"cycle": {"2": 9, "0": 8}}], "extra": {"a": 1}}}
+    for i in range(30):
+        deep = {"schema": f"v{i}", "record": deep} if i % 2 else {"wrapped": [deep] if i % 4 else json.dumps(deep)}
+    text = json.dumps(deep)
+    t = nested.shred(spark.createDataFrame([(1, 1, text), (2, 1, "[" * 200_000), (3, 1, '{"a":' * 200_000)], "line_no long, record_id long, record_json string"))
+    a = t["analysis"].first().payload
+    assert (a.graph_order, a.property_satisfied, a.median_query_time_seconds, a.candidate_report_path, dict(a.others)) == (8, True, 0.25, None, {"extra": '{"a":1}'})
+    assert json.loads(t["record"].first().payload.others["schema"]) == "v1"
+    assert {tuple(r)[2:] for r in nested.hardest_and_witness_rows(spark.createDataFrame([(1, 1, text)], "line_no long, record_id long, record_json string")).collect()} == {
+        ("hardest_ordered_pair", 0, 0, 1), ("hardest_ordered_pair", 0, 2, 7), ("hardest_ordered_pair", 1, 1, 5), ("witness", 0, -1, -1), ("cycle", 0, 0, 8), ("cycle", 0, 2, 9)
+    }

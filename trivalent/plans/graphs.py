@@ -82,10 +82,10 @@ def constraint_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def witness_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """(graph, cycle_id, cycle, canonical hash, order): the witness cycles kept in the census records; graph is the record."""
-    t = shred(table(spark, sf, "census_records"))
+    """(graph, cycle_id, analysis, place, cycle, graph_hash, order): the witness cycles kept in the census records; graph is the record, cycle_id the cycle's key in it."""
+    t = shred(table(spark, sf, "census_records"), tags=["record", "cycle"])
     head = t["record"].select("record_id", F.col("payload.canonical_graph_hash").alias("graph_hash"), F.col("payload.requested_vertex_count").alias("order"))
-    kept = t["cycle"].select("record_id", (F.when(F.col("pk").startswith("all"), 0).otherwise(100_000) + F.col("place")).alias("cycle_id"), F.col("payload").alias("cycle"))
+    kept = t["cycle"].select("record_id", F.col("pk").alias("cycle_id"), "analysis", "place", F.col("payload.v").alias("cycle"))
     return materialize(kept.join(head, "record_id").withColumnRenamed("record_id", "graph"), "witness")
 
 

@@ -23,13 +23,31 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return hardest_and_witness_rows(table(spark, sf, "census_records"))
 
 
+#: An object or list that is written as text, or stands alone in a list, as the object it is.
+_open = lambda x: f"(CASE json_type({x}) WHEN 'VARCHAR' THEN CASE WHEN json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) END WHEN 'ARRAY' THEN CASE WHEN json_array_length({x}) = 1 THEN {x}->'$[0]' END ELSE {x} END)"
+P2_ANALYSES_SQL = f"""
+WITH texts AS (SELECT record_id, line_no, trim(record_json, ' ' || chr(9) || chr(10) || chr(13) || chr(65279)) AS t FROM census_records WHERE record_id IS NOT NULL),
+lines AS (SELECT record_id, line_no, CAST(t AS JSON) AS j FROM texts WHERE CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END),
+last AS (SELECT record_id, arg_max(j, line_no) AS j FROM lines GROUP BY 1),
+bare AS (SELECT record_id, CASE WHEN (j->'$.canonical_graph_hash') IS NULL AND (j->'$.record') IS NOT NULL THEN j->'$.record' ELSE j END AS r FROM last),
+each AS ({' UNION ALL '.join(f"SELECT record_id, '{a}' AS analysis, r, r->'$.{a}' AS a FROM bare" for a in ("all_edge_pairs", "three_edge_paths"))}),
+once AS (SELECT record_id, analysis, r, {_open("a")} AS a FROM each),
+known AS (SELECT record_id, analysis, r, {_open("a")} AS a FROM once)
+SELECT record_id, analysis, lower(trim(r->>'$.canonical_graph_hash')) AS graph_hash, CAST(r->>'$.requested_vertex_count' AS INTEGER) AS requested_vertex_count,
+  CAST(a->>'$.graph_order' AS INTEGER) AS graph_order, CAST(a->>'$.edge_count' AS INTEGER) AS edge_count, CAST(a->>'$.number_of_witness_cycles' AS INTEGER) AS number_of_witness_cycles,
+  CAST(a->>'$.total_subtour_constraints' AS INTEGER) AS total_subtour_constraints, CAST(a->>'$.property_satisfied' AS BOOLEAN) AS property_satisfied,
+  CAST(a->>'$.maximum_query_time_seconds' AS DOUBLE) AS maximum_query_time_seconds, len(CAST(a->'$.face_size_multiset' AS INTEGER[])) AS faces
+FROM known WHERE json_type(a) = 'OBJECT'"""
+
+
 def p2_analyses(spark: SparkSession, sf: str) -> DataFrame:
-    """The parent table: one row per record and analysis, with the record's own fields."""
-    t = shred(table(spark, sf, "census_records"))
-    record = t["record"].select("record_id", F.col("payload.canonical_graph_hash").alias("graph_hash"), F.col("payload.requested_vertex_count").alias("requested_vertex_count"))
-    analysis = t["analysis"].select("record_id", F.col("pk").alias("analysis"), "payload.graph_order", "payload.edge_count", "payload.number_of_witness_cycles")
-    return analysis.join(record, "record_id")
+    """The parent tables: one row per record and analysis, joined on the parent key."""
+    t = shred(table(spark, sf, "census_records"), tags=["record", "analysis"])
+    record = t["record"].select("record_id", F.col("pk").alias("parent_pk"), F.col("payload.canonical_graph_hash").alias("graph_hash"), "payload.requested_vertex_count")
+    own = [f"payload.{c}" for c in ("graph_order", "edge_count", "number_of_witness_cycles", "total_subtour_constraints", "property_satisfied", "maximum_query_time_seconds")]
+    analysis = t["analysis"].select("record_id", "parent_pk", "analysis", *own, F.size("payload.face_size_multiset").alias("faces"))
+    return analysis.join(record, ["record_id", "parent_pk"]).drop("parent_pk")
 
 
 QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_analyses": p2_analyses}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_analyses": P2_ANALYSES_SQL}
