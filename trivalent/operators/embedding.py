@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,35 +88,55 @@ def euler(graphs: DataFrame) -> DataFrame:
     return size.join(counted, "graph").withColumn("spherical", F.col("n") - F.col("m") + F.col("faces") == 2)
 
 
+def _dart_arrays(rotation: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """Of darts numbered vertex by vertex: tails, heads, reverses, and the next dart around the tail either way (2 x darts)."""
+    degree = np.array([len(row) for row in rotation])
+    tail, head = np.repeat(np.arange(len(rotation)), degree), np.concatenate([np.asarray(row, dtype=np.int64) for row in rotation])
+    first = np.repeat(np.cumsum(degree) - degree, degree)
+    place, size = np.arange(len(tail)) - first, degree[tail]
+    there, back = tail * len(rotation) + head, head * len(rotation) + tail
+    order = np.argsort(there, kind="stable")
+    reverse = order[np.minimum(np.searchsorted(there[order], back), len(there) - 1)]
+    if (there[reverse] != back).any():
+        raise ValueError("a rotation system has every dart's reverse")
+    return tail, head, reverse, first + np.stack([(place + 1) % size, (place - 1) % size]), degree
+
+
 def least_rooting(rotation: list[list[int]]) -> tuple[list[list[int]], int]:
     """Least breadth-first code over all rooted darts and both orientations, and how many of these give it.
 
-    All rootings grow row by row in step; after each row only those with the least row go on.
+    A rooting is a row of arrays: labels by vertex, the dart at which each labelled vertex's turn begins,
+    vertices by label. All rootings go on by one vertex at a time, dart after dart for all at once, and
+    those whose row of the code isn't the least are left out.
     """
-    n = len(rotation)
-    place = [{w: i for i, w in enumerate(row)} for row in rotation]
-    live = [(turn, {r: 0, row[i]: 1}, {r: row[i], row[i]: r}, [r, row[i]]) for r, row in enumerate(rotation) for i in range(len(row)) for turn in (1, -1)]
-    code: list[list[int]] = []
+    tail, head, reverse, around, degree = _dart_arrays(rotation)
+    n, darts_, roots = len(rotation), len(tail), np.tile(np.arange(len(tail)), 2)
+    way, each = np.repeat([0, 1], darts_), np.arange(2 * darts_)
+    label, begin, by_label = (np.full((2 * darts_, n), -1) for _ in range(3))
+    for k, (vertex, dart) in enumerate(((tail[roots], roots), (head[roots], reverse[roots]))):
+        label[each, vertex], begin[each, vertex], by_label[:, k] = k, dart, vertex
+    count, code = np.full(2 * darts_, 2), []
     for at in range(n):
-        rows = []
-        for turn, label, parent, queue in live:
-            if at >= len(queue):
-                raise ValueError("a canonical code needs a connected graph")
-            x = queue[at]
-            around, start = rotation[x], place[x][parent[x]]
-            row = []
-            for k in range(len(around)):
-                w = around[(start + turn * k) % len(around)]
-                if w not in label:
-                    label[w], parent[w] = len(label), x
-                    queue.append(w)
-                row.append(label[w])
-            rows.append(row)
-        if rows:
-            least = min(rows)
-            live = [s for s, r in zip(live, rows) if r == least]
-            code.append(least)
-    return code, len(live)
+        if (count <= at).any():
+            raise ValueError("a canonical code needs a connected graph")
+        every = np.arange(len(count))
+        vertex = by_label[:, at]
+        dart, size = begin[every, vertex], degree[vertex]
+        row = np.full((len(count), int(size.max())), -1)
+        for k in range(row.shape[1]):
+            seen = head[dart]
+            new = np.flatnonzero((k < size) & (label[every, seen] < 0))
+            fresh = seen[new]
+            label[new, fresh], begin[new, fresh], by_label[new, count[new]] = count[new], reverse[dart[new]], fresh
+            count[new] += 1
+            row[:, k] = np.where(k < size, label[every, seen], -1)
+            dart = around[way, dart]
+        least = every
+        for k in range(row.shape[1]):
+            least = least[row[least, k] == row[least, k].min()]
+        code.append([int(v) for v in row[least[0]] if v >= 0])
+        label, begin, by_label, count, way = label[least], begin[least], by_label[least], count[least], way[least]
+    return code, len(count)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))

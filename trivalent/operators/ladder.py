@@ -262,48 +262,36 @@ def ladder_parameters(face_walks: DataFrame) -> DataFrame:
     )
 
 
-def _named(ladder: str, kind: str, cell: Column | int, side: Column | int = 0) -> Column:
-    part = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
-    return F.concat_ws("-", F.lit(ladder), F.lit(kind), part(cell), part(side))
-
-
-def structural_packing(grid: DataFrame) -> DataFrame:
-    """(a, b, required, forbidden): a packing of D(a, b), a and b odd from 3, as pairs of edge names of ``family_incidence``.
-
-    Four pairs meet one exception each, pairs of an end rung and a rail meet one turn on the rim of the
-    a x b grid each, and pairs of an inner rung and a rail meet the two turns of a domino inside; one inner turn is left over.
-    """
-    a, b, x, y = F.col("a"), F.col("b"), F.col("x"), F.col("y")
-    along = lambda df, name, lo, hi, step=1: df.withColumn(name, F.explode(F.when(hi >= lo, F.sequence(F.lit(lo), hi, F.lit(step)))))
-    pair = lambda df, *pairs: df.select("a", "b", F.explode(F.array(*[F.struct(r.alias("required"), f.alias("forbidden")) for r, f in pairs])).alias("p"))
-    ends = pair(
-        grid, (_named("A", "rung", 0), _named("A", "rung", 1)), (_named("A", "rung", a), _named("A", "rung", a - 1)),
-        (_named("A", "rail", 0, 0), _named("A", "rail", 0, 1)), (_named("A", "rail", 0, 1), _named("A", "rail", 0, 0)),
-    )
-    rows = pair(along(grid, "x", 0, b - 1), (_named("A", "rung", 0), _named("B", "rail", x, x % 2)), (_named("A", "rung", a), _named("B", "rail", x, 1 - x % 2)))
-    columns = pair(along(grid, "x", 1, a - 2), (_named("B", "rung", 0), _named("A", "rail", x, x % 2)), (_named("B", "rung", b), _named("A", "rail", x, 1 - x % 2)))
-    tiles = pair(along(along(grid, "x", 2, a - 3, 2), "y", 1, b - 2), (_named("A", "rung", x), _named("B", "rail", y, 0)))
-    last = pair(along(grid, "x", 2, b - 3, 2), (_named("B", "rung", x), _named("A", "rail", a - 2, 0)))
-    out = ends
-    for part in (rows, columns, tiles, last):
-        out = out.unionByName(part)
-    return out.select("a", "b", "p.*")
-
-
 def packing_supports(grid: DataFrame) -> DataFrame:
-    """(graph, required, forbidden, support): the cycles of D(a, b) that separate each pair of its structural packing.
+    """(graph, required, forbidden, support): a packing of D(a, b), a and b odd from 3: pairs of edges that no two cycles separate both of.
 
-    All turns and exceptions count; the cycle along all rails separates none of the pairs.
+    Found from the incidence alone. Of the ordered pairs of edges, which are of the order of the a x b cells that the packing
+    covers, those that a single cycle separates come first, one for each such cycle. The turns that no pair has for itself
+    are walked row by row, back and forth, and each two that follow each other get a pair that just these two separate; an odd
+    one is left over. The cycle along all rails counts among the cycles. Edges are named as in ``family_incidence``.
     """
     cells = grid.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    turns = cells.select("a", "b", F.format_string("T(%d,%d)", "i", "j").alias("key"), "i", "j", *[F.lit(None).cast(t).alias(n) for n, t in (("straight", "string"), ("far", "int"), ("parity", "int"))])
-    every = turns.unionByName(symbolic_family(grid).where("i is null"))
-    held = every.join(family_edges(grid), ["a", "b"]).where(incidence()).select("a", "b", "key", _edge_name().alias("edge"))
-    pairs = structural_packing(grid)
-    with_it = pairs.join(held.withColumnRenamed("edge", "required"), ["a", "b", "required"])
-    alone = with_it.join(held.withColumnRenamed("edge", "forbidden"), ["a", "b", "forbidden", "key"], "left_anti")
-    return alone.groupBy(F.struct("a", "b").alias("graph"), "required", "forbidden").agg(F.array_sort(F.collect_set("key")).alias("support"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("straight", "string"), ("far", "int"), ("parity", "int"))]
+    every = cells.select("a", "b", F.format_string("T(%d,%d)", "i", "j").alias("key"), "i", "j", *none).unionByName(symbolic_family(grid).where("i is null"))
+    edges = family_edges(grid).withColumn("edge", F.concat_ws("-", "ladder", "kind", "cell", "side"))
+    graph = F.struct("a", "b").alias("graph")
+    whole = edges.where("kind <> 'rung'").select(graph, F.lit("rails").alias("key"), "edge")
+    held = every.join(edges, ["a", "b"]).where(incidence()).select(graph, "key", "edge").unionByName(whole)
+    signs = materialize(held.groupBy("graph", "edge").agg(F.collect_set("key").alias("cycles")), "signs")
+    other = signs.select("graph", F.col("edge").alias("forbidden"), F.col("cycles").alias("others"))
+    pairs = signs.join(other, "graph").select("graph", F.col("edge").alias("required"), "forbidden", F.array_sort(F.array_except("cycles", "others")).alias("support"))
+    few = materialize(pairs.where(F.size("support").between(1, 2)).groupBy("graph", "support").agg(F.min(F.struct("required", "forbidden")).alias("pair")), "few")
+    alone = few.where("size(support) = 1")
+    turns = cells.select(graph, "i", "j", F.format_string("T(%d,%d)", "i", "j").alias("key"))
+    left = turns.join(alone.select("graph", F.get("support", F.lit(0)).alias("key")), ["graph", "key"], "left_anti")
+    width = left.groupBy("graph").agg(F.min("i").alias("i0"), F.min("j").alias("j0"), F.max("j").alias("j1"))
+    row, column = F.col("i") - F.col("i0"), F.when((F.col("i") - F.col("i0")) % 2 == 0, F.col("j") - F.col("j0")).otherwise(F.col("j1") - F.col("j"))
+    walked = left.join(width, "graph").withColumn("domino", F.floor((row * (F.col("j1") - F.col("j0") + 1) + column) / 2))
+    twos = walked.groupBy("graph", "domino").agg(F.array_sort(F.collect_list("key")).alias("support")).select("graph", "support")
+    out = alone.unionByName(few.join(twos, ["graph", "support"], "left_semi").where("size(support) = 2"))
+    return out.select("graph", "pair.required", "pair.forbidden", "support")
 
 
-def _edge_name() -> Column:
-    return F.concat_ws("-", "ladder", "kind", "cell", "side")
+def structural_packing(grid: DataFrame) -> DataFrame:
+    """(a, b, required, forbidden): the pairs of ``packing_supports``; ((a+2)(b+2)-1)/2 of them, which proves the separation number."""
+    return packing_supports(grid).select("graph.a", "graph.b", "required", "forbidden")
