@@ -41,7 +41,9 @@ def test_interpolation_recovers_the_difference_or_says_so():
             return v
 
         ratio = [at(common + a, z) * pow(at(common + b, z), -1, P) % P for z in zs]
-        found = reconcile.interpolate(ratio, zs, only_a - only_b, bound)
+        both = np.array([ratio, ratio], dtype=np.uint64)
+        found, again = reconcile.interpolate(both, np.array(zs, dtype=np.uint64), only_a - only_b, bound)
+        assert found == again
         if only_a + only_b > bound:
             assert found is None
         else:

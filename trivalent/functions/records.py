@@ -44,16 +44,19 @@ def leaves(value: Any, path: str, name: str = "") -> Iterator[tuple[str, Any]]:
 
 
 def rounded(value: Any) -> Any:
-    """Numbers to ten significant digits: equal text implies equality within 1e-9."""
-    if isinstance(value, bool) or value is None:
-        return value
-    if isinstance(value, (int, float)):
-        return f"{value:.9e}" if not isinstance(value, int) or abs(value) < 10**300 else str(value)
-    if isinstance(value, list):
+    """Whole numbers below 10^9 as they are, others to ten significant digits: equal text implies equality within 1e-9."""
+    kind = type(value)
+    if kind is int:
+        return value if -1_000_000_000 < value < 1_000_000_000 else f"{value:.9e}" if abs(value) < 10**300 else str(value)
+    if kind is float:
+        return int(value) if value.is_integer() and abs(value) < 1e9 else f"{value:.9e}"
+    if kind is str:
+        return "'" + value
+    if kind is list:
         return [rounded(x) for x in value]
-    if isinstance(value, dict):
+    if kind is dict:
         return {k: rounded(v) for k, v in value.items() if v is not None}
-    return "'" + value
+    return value
 
 
 def canonical(text: str | None, path: str) -> str:

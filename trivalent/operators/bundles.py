@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,15 +11,16 @@ from pyspark.sql import types as T
 
 from ..functions.columns import edge_set, norm_hash, text_set
 from ..functions.records import canonical, differing_paths
-from .reconcile import latest_per_key, reconcile
+from .reconcile import reconcile
 
 LIST_FIELDS = ["planar_code_paths", "embedding_paths", "report_paths", "leaderboard_categories"]
 COLUMNS = "dataset string, graph_hash string, constraint_index int, field_name string, diff_kind string"
 
 
-@F.pandas_udf(T.StringType())
-def _canonical_record(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: canonical(t, "original_record"))
+@F.pandas_udf(T.BinaryType())
+def _record_digest(text: pd.Series) -> pd.Series:
+    """Of a record's one form; 128 bits, so that the record's text needn't come back from Python."""
+    return text.map(lambda t: blake2b(canonical(t, "original_record").encode(), digest_size=16).digest())
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -48,12 +51,10 @@ def bundle_differences(primary: DataFrame, mirror: DataFrame) -> DataFrame:
     """
 
     def side(df: DataFrame) -> DataFrame:
-        wanted = df.select(norm_hash("graph_hash").alias("graph_hash"), *[text_set(c).alias(c) for c in LIST_FIELDS], "original_record", "copied_at")
-        kept = latest_per_key(wanted, ["graph_hash"], "copied_at")
-        return kept.select("graph_hash", F.lit(-1).alias("constraint_index"), *LIST_FIELDS, "original_record")
+        return df.select(norm_hash("graph_hash").alias("graph_hash"), F.lit(-1).alias("constraint_index"), *[text_set(c).alias(c) for c in LIST_FIELDS], "original_record", "copied_at")
 
-    content = F.to_json(F.struct(*LIST_FIELDS, _canonical_record("original_record").alias("r")))
-    diff = reconcile(side(primary), side(mirror), ["graph_hash", "constraint_index"], content, "bundles")
+    content = F.struct(F.to_json(F.struct(*LIST_FIELDS)), _record_digest("original_record"))
+    diff = reconcile(side(primary), side(mirror), ["graph_hash", "constraint_index"], content, "copied_at", "bundles")
     return _rows(diff.withColumn("paths", _record_paths("p.original_record", "m.original_record")), "bundle", LIST_FIELDS)
 
 
@@ -67,10 +68,10 @@ def constraint_differences(constraints: DataFrame) -> DataFrame:
         F.lower(F.trim("held_by")).alias("side"), norm_hash("graph_hash").alias("graph_hash"), "constraint_index",
         "analysis", edge_set("required_edges").alias("required_edges"), edge_set("forbidden_edges").alias("forbidden_edges"), "copied_at",
     )
-    keys = ["graph_hash", "constraint_index"]
-    sides = [latest_per_key(wanted.where(F.col("side") == s).drop("side"), keys, "copied_at") for s in ("primary", "mirror")]
+    sides = [wanted.where(F.col("side") == s).drop("side") for s in ("primary", "mirror")]
     content = F.to_json(F.struct("analysis", "required_edges", "forbidden_edges"), {"ignoreNullFields": "false"})
-    return _rows(reconcile(*sides, keys, content, "constraints"), "constraint", ["analysis", "required_edges", "forbidden_edges"])
+    diff = reconcile(*sides, ["graph_hash", "constraint_index"], content, "copied_at", "constraints")
+    return _rows(diff, "constraint", ["analysis", "required_edges", "forbidden_edges"])
 
 
 def copy_differences(primary: DataFrame, mirror: DataFrame, constraints: DataFrame) -> DataFrame:

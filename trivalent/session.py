@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 32_000_000
 
 
 def get_spark(app: str = "trivalent", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -75,3 +78,8 @@ def discard(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def small(df: DataFrame, row_bytes: int, rows: int | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its ``rows`` (counted unless given) of ``row_bytes`` stay within ``most`` bytes; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= most else df
