@@ -37,6 +37,24 @@ def test_least_integer_clashing_names_and_repeats(spark):
     assert top_n_per_group(df, [], "s", ["t"], 1).count() == 1
 
 
+def test_bounds_beyond_the_broadcast_are_those_of_hot_groups(spark, monkeypatch):
+    from trivalent.llm import topn
+
+    monkeypatch.setattr(topn, "BOUND_BYTES", 500)
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else None if i % 50 == 1 else f"g{rng.randrange(200)}", float(rng.randrange(9)), f"{i:05d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, s double, t string").repartition(5)
+    out = topn.top_n_per_group(df, ["g"], "s", ["t"], 3)
+    assert {(r.g, r.place, r.s, r.t) for r in out.collect()} == brute(rows, 3)
+
+
+def test_rows_are_dropped_before_the_shuffle_by_group(spark):
+    df = spark.range(20_000).selectExpr("id % 7 as g", "id % 1000 as s", "id as t").repartition(4)
+    plan = top_n_per_group(df, ["g"], "s", ["t"], 3)._jdf.queryExecution().executedPlan().toString()
+    window, join = plan.index("Window"), plan.index("BroadcastHashJoin")
+    assert "Exchange hashpartitioning(g" in plan[window:join] and "SortMergeJoin" not in plan
+
+
 def test_small_state_still_right(spark, monkeypatch):
     from trivalent.llm import topn
 

@@ -2,9 +2,13 @@
 
 Every partition finds, for each group it holds, its own N-th best row. The group's N-th best row
 overall can't rank below that one, so the best of these bounds, joined back, lets all worse rows be
-dropped before anything is sorted or shuffled by group. What is left is at most N rows per group
-and partition, also where a third of all rows lie in one group or tie on the score, because the
-bound holds the tie columns too.
+dropped before anything is sorted or shuffled by group. What is left of a group is at most N rows a
+partition, also where a third of all rows lie in one group or tie on the score, because the bound
+holds the tie columns too.
+
+Bounds go to the tasks as a broadcast of checked size. Where there are more groups than fit in it, only
+the bounds of hot groups go, those of more than a fixed share of all rows, of which there can't be more
+than that; the rows of the others are shuffled as they are, and none of them is hot.
 """
 
 from __future__ import annotations
@@ -18,7 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.stats import join_groups
+from ..session import materialize
+
 STATE_ROWS = 200_000
+BOUND_BYTES = 32_000_000  # of bounds broadcast at most
 
 
 def _falling(df: DataFrame, score: str) -> Column:
@@ -67,8 +75,7 @@ def _local_bounds(groups: list[str], keys: list[str], n: int, schema: pa.Schema)
 def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int, place: str = "place") -> DataFrame:
     """The ``n`` rows of the highest ``score`` in each group, with their place from 1.
 
-    ``df`` is read twice (bounds, survivors); where it is costly, hand over a materialized frame or
-    one whose last step is a shuffle, which Spark reuses.
+    ``df`` is read twice (bounds, survivors); where it is costly, hand over a materialized frame.
     Ties on the score go to the rising ``ties``; a null tie value comes first. Rows with a null or
     NaN score are left out. Null is a group of its own. A group of fewer than ``n`` rows is given
     whole, an empty frame gives an empty frame. Rows repeated in full are rows of their own, and take places in any
@@ -87,16 +94,24 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str
     slim = rows.select(*[F.col(c).alias(a) for c, a in zip(groups, gs)], F.col(f"{tag}k").alias(ks[0]), *[F.col(c).alias(a) for c, a in zip(ties, ks[1:])])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    bounds = (
-        slim.mapInArrow(_local_bounds(gs, ks, n, to_arrow_schema(slim.schema)), slim.schema)
-        .groupBy(*gs)
-        .agg(F.min(F.struct(*ks)).alias(f"{tag}bound"))
-    )
+    local = slim.mapInArrow(_local_bounds(gs, ks, n, to_arrow_schema(slim.schema)), slim.schema)
+    bounds = materialize(local.groupBy(*gs).agg(F.min(F.struct(*ks)).alias(f"{tag}bound")), "bounds")
+    # a row's size in memory, from its longest texts
+    width = F.lit(128)
+    for f in slim.schema.fields:
+        text = F.col(f.name) if f.name in gs else F.col(f"{tag}bound.{f.name}")
+        width += F.coalesce(F.octet_length(text.cast("string")), F.lit(0))
+    held = bounds.agg(F.count("*").alias("n"), F.max(width).alias("width")).first()
+    most = max(1, BOUND_BYTES // (held.width or 1))
+    if held.n > most:
+        sizes = slim.groupBy(*gs).agg(F.count("*").alias(f"{tag}n"))
+        hot = sizes.where(F.col(f"{tag}n") > slim.count() / most)
+        bounds = join_groups(bounds, hot.select(*gs), gs)
     same = F.lit(True)
     for c, a in zip(groups, gs):
         same &= rows[c].eqNullSafe(bounds[a])
     key = F.struct(F.col(f"{tag}k").alias(ks[0]), *[F.col(c).alias(a) for c, a in zip(ties, ks[1:])])
-    survivors = rows.join(bounds, same, "left").where(F.col(f"{tag}bound").isNull() | (key <= F.col(f"{tag}bound")))
+    survivors = rows.join(F.broadcast(bounds), same, "left").where(F.col(f"{tag}bound").isNull() | (key <= F.col(f"{tag}bound")))
     order = Window.partitionBy(*groups).orderBy(F.col(f"{tag}k").asc(), *[F.col(c).asc_nulls_first() for c in ties])
     ranked = survivors.withColumn(f"{tag}p", F.row_number().over(order)).where(F.col(f"{tag}p") <= n)
     kept = [c for c in df.columns if c != place]
