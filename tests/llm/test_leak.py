@@ -88,6 +88,16 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert leak.leaked_pages(df.limit(0), its).count() == 0 and leak.leaked_pages(df, its.limit(0)).count() == 0
 
 
+def test_two_texts_of_one_id_and_the_exact_setting(spark):
+    rng = random.Random(11)
+    first, second = text(rng, 30), text(rng, 40)
+    docs = [page(1, f"{text(rng, 20)} {first} {text(rng, 20)}"), page(2, f"{text(rng, 20)} {' '.join(second.split()[5:25])} {text(rng, 20)}"), page(3, text(rng, 60))]
+    df, its = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, first), (1, second), (2, first)], "item_id long, text string")
+    want = {(1, 1, 30), (2, 1, 20), (1, 2, 30)}
+    assert {tuple(r) for r in leak.leaked_pages(df, its).collect()} == want
+    assert {tuple(r) for r in leak.leaked_pages(df, its, least_seeds=1, least_fours=0).collect()} == want
+
+
 def test_adverts_inside_a_leak(spark):
     """16 words of an item in full lines, an advert in their midst: of the kinds in the data and of an unknown one."""
     rng = random.Random(9)

@@ -1,7 +1,7 @@
 """Problem 7: passages of evaluation items inside a corpus of scanned pages.
 
-1. Every page is brought into reading order and to its bare letters; a page on which adverts can be
-   recognised by layout as well as by cues is read both ways.
+1. Every page is brought into reading order, freed of adverts (``pages``) and brought to its bare letters; a page
+   with short lines that may be an unknown advert is read both ways.
 2. Every letter n-gram of an item is a seed, so a leak of any part has all of its seeds, however often
    it leaked. Seeds join pages to items; seeds that agree on one diagonal make a candidate.
 3. A candidate goes on if near its seeds, within 48 letters, page and item share as many 4-grams as
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pages import article_readings, joined_text, letters, page_frame, pages
+from ..session import materialize
+from .pages import Adverts, joined_text, letters, ordered_pages, readings
 
 GRAM = 12
 LEAST_SEEDS = 4  # on one diagonal; the shortest leaks of 12 words hold so many with two misread letters
@@ -97,7 +98,7 @@ class Letters:
         self.start = np.concatenate(([0], np.cumsum(self.size + 2 * side)[:-1])) + side
         self.text = np.frombuffer(b"".join(bytes(side) + t + bytes(side) for t in texts), dtype=np.uint8)
 
-    def close(self, page: bytes, item: np.ndarray, diag: np.ndarray, block: np.ndarray) -> np.ndarray:
+    def close(self, page: bytes, item: np.ndarray, diag: np.ndarray, block: np.ndarray, least: int = LEAST_FOURS) -> np.ndarray:
         """Which candidates share enough 4-grams with the page within ``NEAR`` letters, around their block of seeds."""
         begin, width = (block - 1) * BLOCK, 3 * BLOCK
         own = self.text[(self.start[item] + begin)[:, None] + np.arange(width)]
@@ -113,7 +114,7 @@ class Letters:
             fours |= two[:, :-2] & two[:, 2:]
         sums = np.zeros((len(item), width - 2), dtype=np.int16)
         np.cumsum(fours, axis=1, dtype=np.int16, out=sums[:, 1:])
-        return (sums[:, NEAR:] - sums[:, :-NEAR]).max(axis=1) >= LEAST_FOURS
+        return (sums[:, NEAR:] - sums[:, :-NEAR]).max(axis=1) >= least
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -127,16 +128,30 @@ def seed_index(all_letters: Letters) -> SeedIndex:
     return SeedIndex(np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.int32), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
 
 
-def _seek(index_of, letters_of):
+def _spell(adverts_of):
+    """(doc_id, lines) -> (doc_id, letters), a row for each way to read a page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adverts = adverts_of.value
+        for b in batches:
+            out = [(d, letters(joined_text(own))) for d, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for own in readings(lines, adverts)]
+            if out:
+                ids, texts = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary()).cast(pa.binary())], names=["doc_id", "letters"])
+
+    return run
+
+
+def _seek(index_of, letters_of, least_seeds: int, least_fours: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = index_of.value, letters_of.value
         for b in batches:
             out = []
-            for d, s in ((d, letters(joined_text(lines))) for d, found in pages(b, article_readings) for lines in found):
-                item, diag, seeds, block = index.candidates(grams(s), LEAST_SEEDS)
+            for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                item, diag, seeds, block = index.candidates(grams(s), least_seeds)
                 if not len(item):
                     continue
-                close = known.close(s, item, diag, block)
+                close = known.close(s, item, diag, block, least_fours)
                 for i, g, n in sorted(set(zip(item[close].tolist(), diag[close].tolist(), seeds[close].tolist()))):
                     a = max(0, g - BAND)
                     out.append((d, int(known.ids[i]), g - a, n, s[a : max(0, g + int(known.size[i]) + BAND)]))
@@ -219,7 +234,7 @@ def longest_run(place: np.ndarray, words: list[bytes]) -> int:
 
 def _verify(words_of, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of.value
+        words, ids = words_of.value
         joined: dict[int, np.ndarray] = {}
         for b in batches:
             rows = list(zip(*[b.column(i).to_pylist() for i in range(4)]))
@@ -236,45 +251,54 @@ def _verify(words_of, least_words: int):
                 hits = align([(joined[i], np.frombuffer(p, np.uint8), g) for _, i, g, p in some])
                 for (d, i, _, _), m in zip(some, hits):
                     if (r := longest_run(m, words[i])) >= least_words:
-                        out.append((d, i, r))
+                        out.append((d, ids[i], r))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "words"])
 
     return run
 
 
-def _items_of(items: DataFrame, item_id: str, text: str) -> list[tuple[int, str]]:
-    return [(int(r[0]), r[1]) for r in items.select(item_id, text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).collect()]
-
-
-def leaked_pages(documents: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", least_words: int = 12) -> DataFrame:
+def leaked_pages(
+    documents: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", least_words: int = 12,
+    least_seeds: int = LEAST_SEEDS, least_fours: int = LEAST_FOURS, adverts: Adverts | None = None,
+) -> DataFrame:
     """(doc_id, item_id, words): pages that hold at least ``least_words`` consecutive words of an item.
 
     ``words`` is the longest such run. Capitals, punctuation, broken lines, adverts, column order and
     single misread letters don't matter; the order of words does. Items of fewer words, null and empty
     texts on either side give nothing; items repeated under other ids are found under each, one given
-    twice under one id counts once. Pages are taken whole. Extra columns are ignored.
-    ``documents`` has the columns doc_id, text, column_count and page_lines.
+    twice under one id counts once, and of different texts under one id each is sought. Pages are taken whole. Extra columns are ignored.
+    ``documents`` has the columns doc_id, text, column_count and page_lines, and source where titles are known.
+    With ``least_seeds`` 1 and ``least_fours`` 0 every page that shares one n-gram of 12 letters with an item is aligned.
+    ``adverts`` are learnt from the pages unless handed over; ``Adverts()`` knows none.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
-    slim = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).dropDuplicates(["item_id", "text"])
+    none = "doc_id long, item_id long, words int"
+    slim = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if not total:
+        return spark.createDataFrame([], none)
     blocks = int(total // BLOCK_LETTERS) + 1
+    lines, known_adverts = ordered_pages(documents, adverts)
+    spelt = lines.select("doc_id", "lines").mapInArrow(_spell(sc.broadcast(known_adverts)), "doc_id long, letters binary")
+    if blocks > 1:  # read once for every block of items
+        spelt = materialize(spelt, "letters")
     parts = []
     for block in range(blocks):
-        own = slim.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == block) if blocks > 1 else slim
-        words = {i: w for i, t in _items_of(own, "item_id", "text") if len(w := item_words(t)) >= least_words}
-        words_of = sc.broadcast(words)
-        if not words:
+        own = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else slim
+        # numbered in the block, as one id may have several texts
+        listed = [(i, w) for i, t in own.orderBy("item_id", "text").collect() if len(w := item_words(t)) >= least_words]
+        if not listed:
             continue
+        words = {n: w for n, (_, w) in enumerate(listed)}
         known = Letters(words)
-        index_of, letters_of = sc.broadcast(seed_index(known)), sc.broadcast(known)
-        sought = page_frame(documents).mapInArrow(_seek(index_of, letters_of), "doc_id long, item_id long, diag int, seeds int, piece binary")
-        checked = sought.repartition("doc_id", "item_id").select("doc_id", "item_id", "diag", "piece").mapInArrow(_verify(words_of, least_words), "doc_id long, item_id long, words int")
+        words_of, index_of, letters_of = sc.broadcast((words, [i for i, _ in listed])), sc.broadcast(seed_index(known)), sc.broadcast(known)
+        sought = spelt.mapInArrow(_seek(index_of, letters_of, least_seeds, least_fours), "doc_id long, item_id long, diag int, seeds int, piece binary")
+        checked = sought.repartition("doc_id", "item_id").select("doc_id", "item_id", "diag", "piece").mapInArrow(_verify(words_of, least_words), none)
         parts.append(checked)
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, words int")
+        return spark.createDataFrame([], none)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,30 +1,34 @@
 """Scanned pages: from the lines a scan gave back to the article lines as they were printed.
 
-Small Python helpers that run inside Arrow batches; the pages are partitioned by Spark.
+Small Python helpers that run inside Arrow batches; the pages are partitioned by Spark. ``ordered_pages``
+brings every page's lines into reading order once and writes them. Small adverts are learnt from them, by one
+aggregation over the corpus: where the layout shows an advert (three or more short lines in a row between full ones), the
+words of these lines are counted, and those of all other short lines; a line whose words speak for an advert,
+next to another such line, is one, also in narrow columns, whose lines are all short.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log
 from statistics import median
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cues of small adverts (prices, offers, addresses). A parameter of ``article_lines``.
-ADVERT_CUES = (
-    r"^\d+s\. ?\d+d\.?$|^(from|rent|only|grocers,) \d+s\b|\bsale\b.*\*|\*.*\bsale\b|& sons\b|^to let\b|^wanted,|^apply box\b|^no agents\b|"
-    r"'s famed$|\bsold by all$|^\d+ high st\b|^best in\b|^dealers in\b|^this week only\b|\blane, no\. ?\d|^(\w+)! \2!?$|"
-    r"^lost near\b|^a small purse\b|^reward \w+s\. ?\w+d\b|^dr\. ?\w+'?s pills\b|^for all ills\b|^\w+ cured in a\b|^price \w+s\. ?\w+d\b"
-)
-ADVERT_LINE = 26  # letters; longer lines are no advert lines
+from ..session import materialize
+
+ADVERT_LINE = 26  # letters of a short line; those of an advert line, at most four more
+#: A word of adverts counts if it makes up this share of the pages, or of all words of advert lines (which bounds the table's size).
+WORD_SHARE, TABLE_SHARE, LEAST_WORDS = 0.0005, 1 / 200_000, 3
+MARGIN = -2.0  # log odds that a line's words must reach; below even, as a line counts only beside another
+FLUSH_WORDS = 400_000
 _GAP = re.compile(r"\s{3,}")
-_HEAD = re.compile(r"price one|——|^\W*\d{1,3}\s+the\b|^the\b.{3,40}\W\s?\d{1,3}\W*$", re.I)
-HYPHENS = "-¬=­"
 _TAIL = re.compile(r"[\-¬=­][\s.,;:'·~^|*]{0,2}$")
-_NOT_WORD = re.compile(r"[\W_]+")
+_DIGITS = re.compile(r"\d+")
 
 
 def column_edges(x0: list[int], x1: list[int], columns: int) -> list[float]:
@@ -79,61 +83,79 @@ def reading_order(lines: list[str], x0: list[int], y0: list[int], x1: list[int],
     return [p[3] for p in placed]
 
 
-def without_adverts(lines: list[str], cues: re.Pattern) -> list[str]:
-    """Drop small adverts: short lines with a cue, and short lines between two such ones."""
-    hit = [i for i, s in enumerate(lines) if len(s) <= ADVERT_LINE + 4 and cues.search(s.lower())]
-    if not hit:
-        return lines
-    drop = set(hit)
-    for a, b in zip(hit, hit[1:]):
-        if b - a <= 3 and all(len(lines[k]) <= ADVERT_LINE for k in range(a + 1, b)):
-            drop.update(range(a + 1, b))
-    return [s for i, s in enumerate(lines) if i not in drop]
+def line_words(line: str) -> list[str]:
+    """A line's words as they stand, digits folded, with its first and its last word marked as such."""
+    words = _DIGITS.sub("#", line).split()
+    if words:
+        words[0], words[-1] = "^" + words[0], ("^" if len(words) == 1 else "") + words[-1] + "$"
+    return words
 
 
-def without_short_runs(lines: list[str]) -> list[str]:
-    """Drop runs of three or more short lines between full ones, as adverts of any kind stand; a first line in small letters ends a paragraph and stays."""
+def short_runs(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of three or more short lines between full ones, as adverts of any kind stand; a first line in small letters ends a paragraph and isn't of it."""
     full = sorted(map(len, lines))[len(lines) * 3 // 4] if lines else 0
     short = [len(s) <= min(ADVERT_LINE, 0.7 * full) for s in lines]
-    out, i = [], 0
+    i = 0
     while i < len(lines):
         end = i
         while end < len(lines) and short[end]:
             end += 1
-        first = i + (end > i and lines[i][0].islower())
+        first = i + (end > i and lines[i][:1].islower())
         if i and end < len(lines) and end - first >= 3:
-            out += lines[i:first]
-            i = end
-        else:
-            out += lines[i : end + 1]
-            i = end + 1
-    return out
+            yield first, end
+        i = max(end, i + 1)
+
 
+class Adverts:
+    """What tells advert lines from other short lines: a weight for each word, one for words not listed, and one for lines as such. Without weights no line is one."""
 
-_CUES = re.compile(ADVERT_CUES)
+    def __init__(self, weights: dict[str, float] | None = None, other: float = 0.0, prior: float = 0.0, margin: float = MARGIN) -> None:
+        self.weights, self.other, self.prior, self.margin = weights or {}, other, prior, margin
 
+    def speaks(self, line: str) -> bool:
+        return len(line) <= ADVERT_LINE + 4 and self.prior + sum(self.weights.get(w, self.other) for w in line_words(line)) > self.margin
+
+    def without(self, lines: list[str]) -> list[str]:
+        """The lines but adverts: two or more advert lines next to each other, or with a single short line between them, which goes as well."""
+        if not self.weights:
+            return lines
+        hit = [i for i, s in enumerate(lines) if self.speaks(s)]
+        drop = set()
+        for a, b in zip(hit, hit[1:]):
+            if b - a == 1 or b - a == 2 and len(lines[a + 1]) <= ADVERT_LINE + 4:
+                drop.update(range(a, b + 1))
+        return [s for i, s in enumerate(lines) if i not in drop] if drop else lines
+
+
+def without_short_runs(lines: list[str]) -> list[str]:
+    """The lines but those of ``short_runs``."""
+    drop = {k for a, b in short_runs(lines) for k in range(a, b)}
+    return [s for i, s in enumerate(lines) if i not in drop] if drop else lines
 
-def article_readings(text: str | None, x0: list[int], y0: list[int], x1: list[int], columns: int | None, cues: re.Pattern = _CUES) -> list[list[str]]:
-    """``article_lines``, and where it differs the same with adverts recognised by layout too, which may take headings and short lines along."""
-    lines = _ordered_lines(text, x0, y0, x1, columns)
-    first, second = without_adverts(lines, cues), without_adverts(without_short_runs(lines), cues)
+
+def readings(lines: list[str], adverts: Adverts) -> list[list[str]]:
+    """A page's lines without adverts, and where it differs the same with all short runs left out too, which may take headings and short lines along."""
+    first, second = adverts.without(lines), adverts.without(without_short_runs(lines))
     return [first] if second == first else [first, second]
 
 
-def article_lines(text: str | None, x0: list[int], y0: list[int], x1: list[int], columns: int | None, cues: re.Pattern = _CUES) -> list[str]:
-    """A page's article lines in their printed order, without running head and adverts.
+def is_running_head(line: str, title: str | None) -> bool:
+    """Whether a page's first line is its newspaper's title with number, day or price: half of the title's letter triples are in it, and not much else."""
+    t, s = letters(title or ""), letters(line)
+    triples = {t[i : i + 3] for i in range(len(t) - 2)}
+    return len(triples) > 3 and len(s) <= len(t) + 25 and 2 * sum(g in s for g in triples) >= len(triples)
 
-    A null or empty text has none. Where boxes and lines don't match, the text's own order holds.
-    """
-    return without_adverts(_ordered_lines(text, x0, y0, x1, columns), cues)
 
+def ordered_lines(text: str | None, x0: list[int], y0: list[int], x1: list[int], columns: int | None, title: str | None = None) -> list[str]:
+    """A page's lines in their printed order, without its running head.
 
-def _ordered_lines(text: str | None, x0: list[int], y0: list[int], x1: list[int], columns: int | None) -> list[str]:
+    A null or empty text has none. Where boxes and lines don't match, the text's own order holds.
+    """
     if not text:
         return []
     lines = text.split("\n")
     boxed = len(lines) == len(x0)
-    head = 1 if lines and len(lines) > 1 and _HEAD.search(lines[0]) else 0
+    head = 1 if len(lines) > 1 and is_running_head(lines[0], title) else 0
     lines = lines[head:]
     if boxed and columns and columns > 1:
         lines = reading_order(lines, x0[head:], y0[head:], x1[head:], columns)
@@ -161,19 +183,69 @@ def letters(text: str) -> bytes:
     return text.encode().translate(None, _ASCII_MARKS)
 
 
-def page_frame(documents: DataFrame, *more: str) -> DataFrame:
-    """The columns that ``pages`` reads, pruned at the scan: ids, text, columns and left, top and right of the boxes."""
+def page_frame(documents: DataFrame, keep: Column | None = None) -> DataFrame:
+    """The columns that pages are read from, pruned at the scan: ids, text, columns, left, top and right of the boxes, the title, and ``keep``."""
     box = [F.col(f"page_lines.{c}").alias(c) for c in ("x0", "y0", "x1")]
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("column_count").cast("int").alias("column_count"), *box, *more)
-
-
-def pages(batch: pa.RecordBatch, read=article_lines) -> Iterator[tuple[int, list]]:
-    """(doc_id, article lines, or what else ``read`` gives) of a batch of ``page_frame``."""
-    ids, texts, counts = (batch.column(i).to_pylist() for i in range(3))
-    flat = [(c.offsets.to_pylist(), c.values.to_pylist()) for c in (batch.column(i) for i in (3, 4, 5))]
-    for k, (d, t, c) in enumerate(zip(ids, texts, counts)):
-        if not t:
-            yield d, []
-            continue
-        box = [v[o[k] : o[k + 1]] for o, v in flat] if c and c > 1 else [[], [], []]
-        yield d, read(t, *box, c)
+    title = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
+    kept = (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("column_count").cast("int").alias("column_count"), *box, title.alias("title"), kept)
+
+
+def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages -> (doc_id, keep, lines) and, per partition, (word, inside, outside): how often advert runs and other short lines hold it; the empty word counts the lines."""
+    names = ["doc_id", "keep", "lines", "word", "inside", "outside"]
+    inside: Counter[str] = Counter()
+    outside: Counter[str] = Counter()
+
+    def counts() -> pa.RecordBatch:
+        words = list(inside.keys() | outside.keys())
+        none = (pa.nulls(len(words), t) for t in (pa.int64(), pa.bool_(), pa.list_(pa.string())))
+        cols = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (inside, outside))]
+        return pa.RecordBatch.from_arrays([*none, *cols], names=names)
+
+    for b in batches:
+        texts, counts_, titles = (b.column(i).to_pylist() for i in (1, 2, 6))
+        flat = [(c.offsets.to_pylist(), c.values.to_pylist()) for c in (b.column(i) for i in (3, 4, 5))]
+        out = []
+        for k, (t, c, title) in enumerate(zip(texts, counts_, titles)):
+            box = [v[o[k] : o[k + 1]] for o, v in flat] if c and c > 1 else [[], [], []]
+            lines = ordered_lines(t, *box, c, title)
+            out.append(lines)
+            runs = {i for a, z in short_runs(lines) for i in range(a, z)}
+            for i, s in enumerate(lines):
+                if i in runs:
+                    inside.update(line_words(s))
+                    inside[""] += 1
+                elif len(s) <= ADVERT_LINE + 4:
+                    outside.update(line_words(s))
+                    outside[""] += 1
+        if out:
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(7), pa.array(out, pa.list_(pa.string())), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+        if len(inside) + len(outside) > FLUSH_WORDS:
+            yield counts()
+            inside.clear()
+            outside.clear()
+    if inside or outside:
+        yield counts()
+
+
+def learnt_adverts(read: DataFrame) -> Adverts:
+    """The weights of words from the counts in a frame of ``_order``; naive Bayes with half a count added. A corpus without advert runs has none."""
+    counted = read.where("word is not null")
+    each = F.col("word") != ""
+    pages, r, o, n1, n0 = (read.agg(
+        F.count_if(F.col("word").isNull()), F.sum(F.when(each, F.col("inside"))), F.sum(F.when(each, F.col("outside"))), F.sum(F.when(~each, F.col("inside"))), F.sum(F.when(~each, F.col("outside"))),
+    ).first())
+    if not r:
+        return Adverts()
+    least = max(LEAST_WORDS, WORD_SHARE * pages, TABLE_SHARE * r)
+    words = counted.where(each).groupBy("word").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).where(F.col("a") >= least).collect()  # at most 1 / TABLE_SHARE
+    odds = lambda a, b: log((a + 0.5) / r) - log((b + 0.5) / ((o or 0) + 1))
+    return Adverts({w: odds(a, b) for w, a, b in words}, odds(r - sum(a for _, a, _ in words), (o or 0) - sum(b for _, _, b in words)), log(n1 / (n0 or 1)))
+
+
+def ordered_pages(documents: DataFrame, adverts: Adverts | None = None, keep: Column | None = None) -> tuple[DataFrame, Adverts]:
+    """(doc_id, keep, lines) of every page, written, and the adverts learnt from them (or those handed over)."""
+    read = materialize(page_frame(documents, keep).mapInArrow(_order, "doc_id long, keep boolean, lines array<string>, word string, inside long, outside long"), "pages")
+    return read.where("word is null").select("doc_id", "keep", "lines"), learnt_adverts(read) if adverts is None else adverts

@@ -109,11 +109,12 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def english_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(reading.is_english("lang") & (F.col("n_chars") >= 600))
+    return table(spark, sf, "documents").where(reading.is_english("lang"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return reading.reading_levels(english_pages(spark, sf), table(spark, sf, "reading_labels"))
+    """Word lists from all English pages, levels of those with 600 or more characters."""
+    return reading.reading_levels(english_pages(spark, sf), table(spark, sf, "reading_labels"), F.col("n_chars") >= 600)
 
 
 def p8_sources(spark: SparkSession, sf: str) -> DataFrame:

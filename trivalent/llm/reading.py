@@ -2,8 +2,9 @@
 
 The shares of words outside high-frequency lists, taken from the document frequencies of the whole
 corpus, and the average sentence length are weighed into four levels. The lists are nested: each holds the words
-found in at least a certain share of the documents. Words that hardly any document has are misread
-words, broken pieces and names; they count neither as familiar nor as unfamiliar.
+found in at least so many documents, the bounds being quantiles of the document frequencies over all words of all
+documents. Words that hardly any document has are misread words, broken pieces and names; they count neither as familiar
+nor as unfamiliar.
 
 The weights are fitted on a bounded sample of readers' labels (``LABELS`` rows, those of the least
 hash); counts, lists and scores cover every document.
@@ -21,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .pages import joined_text, page_frame, pages
+from .pages import Adverts, joined_text, ordered_pages
 
-SHARES = (0.1, 0.15, 0.2, 0.22, 0.24, 0.26, 0.28, 0.3, 0.32)
+#: Quantiles of the document frequencies that bound the lists: at 0.3 the words of smaller frequency make up 30 % of all (document, word) pairs.
+QUANTILES = tuple(k / 50 for k in range(1, 16))
 #: A word of fewer documents than this share isn't counted; so the lexicon has at most (words a page) / KNOWN entries.
 KNOWN = 0.002
 LABELS = 20_000
@@ -41,31 +43,37 @@ def is_english(lang: Column | str) -> Column:
     return F.coalesce(F.lower(F.trim(c)).rlike(r"^(en|eng|english)([-_ (/].*)?$"), F.lit(False))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages -> (doc_id, sentences, words) and, per partition, (word, documents)."""
+def _read(adverts_of):
+    """(doc_id, keep, lines) -> (doc_id, sentences, words) of the pages to keep and, per partition, (word, documents) of all."""
     names = ["doc_id", "sentences", "words", "word", "n"]
-    seen: Counter[str] = Counter()
-
-    def counts() -> pa.RecordBatch:
-        none = pa.nulls(len(seen), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.nulls(len(seen), pa.int32()), pa.nulls(len(seen), pa.string()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=names)
-
-    for b in batches:
-        ids, ends, texts = [], [], []
-        for d, lines in pages(b):
-            text = joined_text(lines)
-            words = _WORD.findall(text.lower())
-            seen.update(set(words))
-            ids.append(d)
-            ends.append(max(1, len(_END.findall(text))))
-            texts.append(" ".join(words))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names=names)
-        if len(seen) > FLUSH_WORDS:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adverts = adverts_of.value
+        seen: Counter[str] = Counter()
+
+        def counts() -> pa.RecordBatch:
+            none = pa.nulls(len(seen), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(seen), pa.int32()), pa.nulls(len(seen), pa.string()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=names)
+
+        for b in batches:
+            ids, ends, texts = [], [], []
+            for d, keep, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                text = joined_text(adverts.without(lines))
+                words = _WORD.findall(text.lower())
+                seen.update(set(words))
+                if keep:
+                    ids.append(d)
+                    ends.append(max(1, len(_END.findall(text))))
+                    texts.append(" ".join(words))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names=names)
+            if len(seen) > FLUSH_WORDS:
+                yield counts()
+                seen.clear()
+        if seen:
             yield counts()
-            seen.clear()
-    if seen:
-        yield counts()
+
+    return run
 
 
 def _measure(rank_of, lists: int):
@@ -87,15 +95,27 @@ def _measure(rank_of, lists: int):
     return run
 
 
-def page_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, features) of every page given; the frequency lists come from exactly these pages."""
+def list_bounds(frequencies: np.ndarray, quantiles: tuple[float, ...] = QUANTILES) -> np.ndarray:
+    """The document frequencies at which the words of smaller ones make up each quantile of all pairs of a document and a word of it."""
+    if not len(frequencies):
+        return np.zeros(len(quantiles))
+    rising = np.sort(frequencies)
+    upto = np.cumsum(rising)
+    return rising[np.minimum(np.searchsorted(upto, np.array(quantiles) * upto[-1]), len(rising) - 1)]
+
+
+def page_features(documents: DataFrame, keep: Column | None = None, adverts: Adverts | None = None) -> DataFrame:
+    """(doc_id, features) of the pages to ``keep`` (all unless given); document frequencies count every page given."""
     sc = documents.sparkSession.sparkContext
-    read = materialize(page_frame(documents).mapInArrow(_read, "doc_id long, sentences int, words string, word string, n long"), "words")
-    docs = read.where("doc_id is not null")
-    total = docs.count()
+    lines, known = ordered_pages(documents, adverts, keep)
+    read = materialize(lines.mapInArrow(_read(sc.broadcast(known)), "doc_id long, sentences int, words string, word string, n long"), "words")
+    docs = read.where("word is null")
+    total = lines.count()
+    # at most (words a page) / KNOWN entries
     common = read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, KNOWN * total)).toPandas()
-    rank = {w: sum(n >= s * total for s in SHARES) for w, n in zip(common["word"], common["n"])}
-    return docs.select("doc_id", "sentences", "words").mapInArrow(_measure(sc.broadcast(rank), len(SHARES)), "doc_id long, features array<double>")
+    n = common["n"].to_numpy().astype(np.int64)
+    rank = dict(zip(common["word"], (n[:, None] >= list_bounds(n)[None, :]).sum(axis=1).tolist()))
+    return docs.select("doc_id", "sentences", "words").mapInArrow(_measure(sc.broadcast(rank), len(QUANTILES)), "doc_id long, features array<double>")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -140,23 +160,30 @@ class Formula:
         return (self._design(features) @ self.weights).argmax(axis=1) + 1
 
 
-def label_sample(labels: DataFrame, most: int = LABELS) -> DataFrame:
-    """Each reader's label of a page once, without nulls and impossible levels; at most ``most``, by the least hash."""
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """Each reader's label of a page once, without nulls and impossible levels."""
     usable = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
-    once = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "rater", F.col("reading_level").cast("int").alias("reading_level")).distinct()
-    return once.orderBy(F.xxhash64("doc_id", "rater", "reading_level"), "doc_id", "rater", "reading_level").limit(most)
+    return usable.select(F.col("doc_id").cast("long").alias("doc_id"), "rater", F.col("reading_level").cast("int").alias("reading_level")).distinct()
+
+
+def label_sample(labels: DataFrame, most: int = LABELS) -> DataFrame:
+    """At most ``most`` rows of ``usable_labels``, those of the least hash."""
+    return labels.orderBy(F.xxhash64("doc_id", "rater", "reading_level"), "doc_id", "rater", "reading_level").limit(most)
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, reading_level) of every page given, on the levels of ``labels``.
+def reading_levels(documents: DataFrame, labels: DataFrame, keep: Column | None = None, adverts: Adverts | None = None, most: int = LABELS) -> DataFrame:
+    """(doc_id, reading_level) of every page to ``keep`` (all unless given), on the levels of ``labels``.
 
+    Document frequencies count every page given. The weights are fitted on at most ``most`` labels of pages that are kept.
     A page without words has the level that no words and one sentence come to. Without any usable label
     there is no scale, and the level is null. A page filed twice under two ids has a row for each;
-    an empty corpus gives no row. Extra columns are ignored. Pages are read whole.
+    an empty corpus gives no row. Extra columns are ignored. Pages are read whole. ``adverts`` are learnt from the
+    pages unless handed over; ``Adverts()`` knows none.
     """
     sc = documents.sparkSession.sparkContext
-    features = materialize(page_features(documents), "features")
-    sample = label_sample(labels).join(features, "doc_id").select("features", "reading_level").toPandas()
+    features = materialize(page_features(documents, keep, adverts), "features")
+    scored = usable_labels(labels).join(features.select("doc_id"), "doc_id", "left_semi")
+    sample = label_sample(scored, most).join(features, "doc_id").select("features", "reading_level").toPandas()
     if not len(sample):
         return features.select("doc_id", F.lit(None).cast("int").alias("reading_level"))
     formula_of = sc.broadcast(Formula(np.array(sample["features"].tolist()), sample["reading_level"].to_numpy().astype(int)))
