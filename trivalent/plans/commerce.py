@@ -153,7 +153,16 @@ def quantity_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rolled.select(F.coalesce("l_returnflag", F.lit("all")).alias("l_returnflag"), F.coalesce("l_linestatus", F.lit("all")).alias("l_linestatus"), "quantity")
 
 
-@query()
+@query("""
+WITH RECURSIVE owned AS (SELECT DISTINCT s_nationkey AS n, s_suppkey AS s, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+o AS (SELECT n, s, list(b) AS bs FROM owned GROUP BY ALL),
+g(n, step, s, gain, held) AS (
+  SELECT n, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM o GROUP BY n
+  UNION ALL
+  SELECT n, step + 1, best.s, best.gain, list_concat(held, best.fresh) FROM (
+    SELECT g.n, g.step, any_value(g.held) AS held, arg_max({'s': o.s, 'gain': len(list_filter(o.bs, lambda b: NOT list_contains(g.held, b))), 'fresh': list_filter(o.bs, lambda b: NOT list_contains(g.held, b))},
+      {'gain': len(list_filter(o.bs, lambda b: NOT list_contains(g.held, b))), 'first': -o.s}) AS best FROM g JOIN o ON g.n = o.n GROUP BY g.n, g.step) WHERE best.gain > 0)
+SELECT n AS nationkey, CAST(step AS INTEGER) AS step, s AS s_suppkey, gain AS new_brands FROM g WHERE step > 0""")
 def brand_covers(spark: SparkSession, sf: str) -> DataFrame:
     """For each nation a greedy choice of suppliers that together supply every brand its suppliers have."""
     t = lambda n: table(spark, sf, n)

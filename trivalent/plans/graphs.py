@@ -10,6 +10,7 @@ from ..operators import cycles, graph, separation
 from ..operators.nested import shred
 from ..operators.reconcile import latest_per_key
 from ..session import materialize, table
+from .problems import P2_WITNESSES
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -89,19 +90,33 @@ def witness_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(kept.join(head, "record_id").withColumnRenamed("record_id", "graph"), "witness")
 
 
-@query()
+CYCLES = f"""{P2_WITNESSES},
+cycles AS (SELECT record_id, analysis, place, row_number() OVER () AS id, lower(trim(r->>'$.canonical_graph_hash')) AS graph_hash, CAST(r->>'$.requested_vertex_count' AS INTEGER) AS n, cycle FROM witnesses WHERE len(cycle) > 0),
+turned AS (SELECT *, cycle[list_position(cycle, list_min(cycle)):] || cycle[:list_position(cycle, list_min(cycle)) - 1] AS f FROM cycles),
+spelt AS (SELECT *, CASE WHEN f <= [f[1]] || list_reverse(f[2:]) THEN f ELSE [f[1]] || list_reverse(f[2:]) END AS least FROM turned),
+steps AS (SELECT DISTINCT record_id, graph_hash, id, least(x, y) AS u, greatest(x, y) AS v FROM (SELECT record_id, graph_hash, id, unnest(cycle) AS x, unnest(cycle[2:] || [cycle[1]]) AS y FROM cycles))"""
+
+
+@query(f"""WITH {CYCLES}
+SELECT record_id, analysis, place, len(cycle) AS length, coalesce(len(cycle) = n AND len(list_distinct(cycle)) = n AND list_max(cycle) < n, false) AS valid,
+  CASE WHEN len(cycle) >= 3 AND len(list_distinct(cycle)) = len(cycle) THEN sha256(replace(CAST(least AS VARCHAR), ' ', '')) END AS certificate_hash FROM spelt""")
 def witness_cycle_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each witness goes through every vertex of its graph once, and its certificate hash."""
     w = witness_cycles(spark, sf)
     whole = (F.size("cycle") == F.col("order")) & (F.size(F.array_distinct("cycle")) == F.col("order")) & (F.array_max("cycle") < F.col("order"))
-    return w.select(F.col("graph").alias("record_id"), "cycle_id", F.size("cycle").alias("length"), F.coalesce(whole, F.lit(False)).alias("valid"), cycles.certificate_hash("cycle").alias("certificate_hash"))
+    return w.select(F.col("graph").alias("record_id"), "analysis", "place", F.size("cycle").alias("length"), F.coalesce(whole, F.lit(False)).alias("valid"), cycles.certificate_hash("cycle").alias("certificate_hash"))
 
 
 def witness_rows(w: DataFrame) -> DataFrame:
     return w.select("graph", "cycle_id", F.explode(cycle_edges("cycle")).alias("e")).select("graph", "cycle_id", "e.u", "e.v").distinct()
 
 
-@query()
+@query(f"""WITH {CYCLES},
+signs AS (SELECT record_id, u, v, list_sort(list(id)) AS s FROM steps GROUP BY ALL),
+pairs AS (SELECT x.record_id, len(list_filter(x.s, lambda c: NOT list_contains(y.s, c))) > 0 AS apart, x.s = y.s AS equal FROM signs x JOIN signs y ON x.record_id = y.record_id AND (x.u, x.v) <> (y.u, y.v)),
+tally AS (SELECT record_id, count(*) AS required_pairs, count(*) FILTER (apart) AS separated_pairs, count(*) FILTER (equal) // 2 AS equal_pairs, count(*) FILTER (NOT apart AND NOT equal) AS nested_pairs FROM pairs GROUP BY 1),
+sized AS (SELECT record_id, count(*) AS edges, count(DISTINCT s) AS distinct_signatures FROM signs GROUP BY 1)
+SELECT record_id, required_pairs, separated_pairs, required_pairs = separated_pairs AS separating, edges, distinct_signatures, equal_pairs, nested_pairs, equal_pairs = 0 AND nested_pairs = 0 AS antichain FROM tally JOIN sized USING (record_id)""")
 def witness_separation(spark: SparkSession, sf: str) -> DataFrame:
     """Of the edges seen in a record's witnesses: ordered pairs, those separated, and the state of the signatures."""
     rows = materialize(witness_rows(witness_cycles(spark, sf)), "rows")
@@ -121,16 +136,24 @@ def witness_covers(spark: SparkSession, sf: str) -> DataFrame:
     return greedy.join(least, "graph").join(packing, "graph").withColumnRenamed("graph", "record_id")
 
 
-@query()
+_pairs = lambda c: f"list_transform(coalesce({c}, []), lambda e: [least(e[1], e[2]), greatest(e[1], e[2])])"
+
+
+@query(f"""WITH {CYCLES},
+named AS (SELECT lower(trim(held_by)) AS held_by, lower(trim(graph_hash)) AS graph_hash, constraint_index, analysis, copied_at, {_pairs("required_edges")} AS q, {_pairs("forbidden_edges")} AS f FROM review_constraints),
+held AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY held_by, graph_hash, constraint_index ORDER BY copied_at DESC) AS k FROM named) WHERE k = 1),
+chosen AS (SELECT graph_hash, id, list([u, v]) AS e FROM steps GROUP BY ALL),
+met AS (SELECT held_by, h.graph_hash, analysis, constraint_index, coalesce(bool_or(list_has_all(e, q) AND NOT list_has_any(e, f)), false) AS met FROM held h LEFT JOIN chosen c ON c.graph_hash = h.graph_hash GROUP BY ALL)
+SELECT held_by, graph_hash, analysis, count(*) AS constraints, count(*) FILTER (met) AS satisfied FROM met GROUP BY ALL""")
 def constraints_met_by_witnesses(spark: SparkSession, sf: str) -> DataFrame:
-    """Per graph and analysis: review constraints, and how many of them some kept witness satisfies."""
+    """Per copy, graph and analysis: review constraints, each in its latest row, and how many of them some kept witness satisfies."""
     pair = lambda c: F.transform(F.coalesce(c, F.array().cast("array<array<int>>")), lambda e: F.struct(F.least(F.get(e, F.lit(0)), F.get(e, F.lit(1))).alias("u"), F.greatest(F.get(e, F.lit(0)), F.get(e, F.lit(1))).alias("v")))
-    cons = table(spark, sf, "review_constraints").where("held_by = 'primary'").select(norm_hash("graph_hash").alias("graph_hash"), "constraint_index", "copied_at", "analysis", "required_edges", "forbidden_edges")
-    cons = latest_per_key(cons, ["graph_hash", "constraint_index"], "copied_at").select("graph_hash", "analysis", "constraint_index", pair(F.col("required_edges")).alias("required"), pair(F.col("forbidden_edges")).alias("forbidden"))
+    named = table(spark, sf, "review_constraints").select(F.lower(F.trim("held_by")).alias("held_by"), norm_hash("graph_hash").alias("graph_hash"), "constraint_index", "copied_at", "analysis", "required_edges", "forbidden_edges")
+    cons = latest_per_key(named, ["held_by", "graph_hash", "constraint_index"], "copied_at").select("held_by", "graph_hash", "analysis", "constraint_index", pair(F.col("required_edges")).alias("required"), pair(F.col("forbidden_edges")).alias("forbidden"))
     held = witness_cycles(spark, sf).select(norm_hash("graph_hash").alias("graph_hash"), cycle_edges("cycle").alias("selected"))
     fits = F.coalesce(cycles.satisfies(F.col("selected"), F.col("required"), F.col("forbidden")), F.lit(False))
-    met = cons.join(held, "graph_hash", "left").groupBy("graph_hash", "analysis", "constraint_index").agg(F.bool_or(F.col("selected").isNotNull() & fits).alias("met"))
-    return met.groupBy("graph_hash", "analysis").agg(F.count("*").alias("constraints"), F.count_if("met").alias("satisfied"))
+    met = cons.join(held, "graph_hash", "left").groupBy("held_by", "graph_hash", "analysis", "constraint_index").agg(F.bool_or(F.col("selected").isNotNull() & fits).alias("met"))
+    return met.groupBy("held_by", "graph_hash", "analysis").agg(F.count("*").alias("constraints"), F.count_if("met").alias("satisfied"))
 
 
 @query("""
