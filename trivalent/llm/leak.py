@@ -4,8 +4,8 @@
    with short lines that may be an unknown advert is read both ways.
 2. Every letter n-gram of an item is a seed, so a leak of any part has all of its seeds, however often
    it leaked. Seeds join pages to items; seeds that agree on one diagonal make a candidate.
-3. A candidate goes on if near its seeds, within 48 letters, page and item share as many 4-grams as
-   the shortest leak with three misread letters does; that leaves out common phrases.
+3. A candidate goes on if near its seeds page and item share half of the 4-grams of some twelve consecutive words
+   of the item; that leaves out common phrases, and is less than a leak with one letter in seven misread has.
 4. A banded Smith-Waterman alignment of each candidate's letters finds the longest run of whole words
    that the page holds, whatever the scan did to single letters.
 
@@ -26,7 +26,8 @@ from .pages import Adverts, joined_text, letters, ordered_pages, readings
 
 GRAM = 12
 LEAST_SEEDS = 4  # on one diagonal; the shortest leaks of 12 words hold so many with two misread letters
-BLOCK, NEAR, SHIFT, LEAST_FOURS = 64, 48, 3, 22  # letters of an item looked at together, of a stretch, to either side of the diagonal; 4-grams shared
+BLOCK, NEAR, SHIFT = 64, 48, 3  # letters of an item looked at together, of a stretch at least, to either side of the diagonal
+LEAST_FOURS = 0.5  # share of a stretch's 4-grams
 BAND = 16
 MATCH, OTHER, GAP = 2, -3, -3
 SLACK = 5
@@ -88,20 +89,27 @@ class SeedIndex:
 
 
 class Letters:
-    """The letters of all items in one array, items by place."""
+    """The letters of all items in one array, items by place, and for each word's first letter the end of the stretch of so many words that begins there."""
 
-    def __init__(self, words: dict[int, list[bytes]]) -> None:
+    def __init__(self, words: dict[int, list[bytes]], least_words: int = 12) -> None:
         self.ids = np.array(sorted(words), dtype=np.int64)
         texts = [b"".join(words[i]) for i in self.ids.tolist()]
         self.size = np.array([len(t) for t in texts], dtype=np.int64)
         side = 3 * BLOCK  # so that blocks may reach beyond their item
         self.start = np.concatenate(([0], np.cumsum(self.size + 2 * side)[:-1])) + side
         self.text = np.frombuffer(b"".join(bytes(side) + t + bytes(side) for t in texts), dtype=np.uint8)
-
-    def close(self, page: bytes, item: np.ndarray, diag: np.ndarray, block: np.ndarray, least: int = LEAST_FOURS) -> np.ndarray:
-        """Which candidates share enough 4-grams with the page within ``NEAR`` letters, around their block of seeds."""
+        self.stretch = np.zeros(len(self.text), dtype=np.int32)  # letters of the stretch, 0 where none begins
+        for i, at in zip(self.ids.tolist(), self.start.tolist()):
+            begin = np.concatenate(([0], np.cumsum([len(w) for w in words[i]])))
+            self.stretch[at + begin[: -least_words]] = begin[least_words:] - begin[:-least_words]
+
+    def close(self, page: bytes, item: np.ndarray, diag: np.ndarray, block: np.ndarray, least: float = LEAST_FOURS) -> np.ndarray:
+        """Which candidates share enough 4-grams with the page in some stretch around their block of seeds."""
+        if least <= 0:
+            return np.ones(len(item), dtype=bool)
         begin, width = (block - 1) * BLOCK, 3 * BLOCK
-        own = self.text[(self.start[item] + begin)[:, None] + np.arange(width)]
+        place = (self.start[item] + begin)[:, None] + np.arange(width)
+        own = self.text[place]
         side = width + SHIFT
         padded = np.concatenate((np.full(side, 1, np.uint8), np.frombuffer(page, np.uint8), np.full(side, 1, np.uint8)))
         first = begin + diag + side - SHIFT
@@ -112,9 +120,15 @@ class Letters:
             same = near[:, s : s + width] == own
             two = same[:, :-1] & same[:, 1:]
             fours |= two[:, :-2] & two[:, 2:]
-        sums = np.zeros((len(item), width - 2), dtype=np.int16)
-        np.cumsum(fours, axis=1, dtype=np.int16, out=sums[:, 1:])
-        return (sums[:, NEAR:] - sums[:, :-NEAR]).max(axis=1) >= least
+        sums = np.zeros((len(item), width - 2), dtype=np.int32)
+        np.cumsum(fours, axis=1, dtype=np.int32, out=sums[:, 1:])
+        r, at = np.nonzero(self.stretch[place[:, : width - NEAR]])
+        # a stretch that goes on beyond what is looked at counts as far as that
+        seen = np.minimum(self.stretch[place[r, at]], width - at)
+        good = sums[r, at + seen - 3] - sums[r, at] >= least * (seen - 3)
+        out = np.zeros(len(item), dtype=bool)
+        out[r[good]] = True
+        return out
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -142,7 +156,7 @@ def _spell(adverts_of):
     return run
 
 
-def _seek(index_of, letters_of, least_seeds: int, least_fours: int):
+def _seek(index_of, letters_of, least_seeds: int, least_fours: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = index_of.value, letters_of.value
         for b in batches:
@@ -260,7 +274,7 @@ def _verify(words_of, least_words: int):
 
 def leaked_pages(
     documents: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", least_words: int = 12,
-    least_seeds: int = LEAST_SEEDS, least_fours: int = LEAST_FOURS, adverts: Adverts | None = None,
+    least_seeds: int = LEAST_SEEDS, least_fours: float = LEAST_FOURS, adverts: Adverts | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, words): pages that hold at least ``least_words`` consecutive words of an item.
 
@@ -292,7 +306,7 @@ def leaked_pages(
         if not listed:
             continue
         words = {n: w for n, (_, w) in enumerate(listed)}
-        known = Letters(words)
+        known = Letters(words, least_words)
         words_of, index_of, letters_of = sc.broadcast((words, [i for i, _ in listed])), sc.broadcast(seed_index(known)), sc.broadcast(known)
         sought = spelt.mapInArrow(_seek(index_of, letters_of, least_seeds, least_fours), "doc_id long, item_id long, diag int, seeds int, piece binary")
         checked = sought.repartition("doc_id", "item_id").select("doc_id", "item_id", "diag", "piece").mapInArrow(_verify(words_of, least_words), none)

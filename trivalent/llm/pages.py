@@ -115,28 +115,28 @@ class Adverts:
     def speaks(self, line: str) -> bool:
         return len(line) <= ADVERT_LINE + 4 and self.prior + sum(self.weights.get(w, self.other) for w in line_words(line)) > self.margin
 
-    def without(self, lines: list[str]) -> list[str]:
-        """The lines but adverts: two or more advert lines next to each other, or with a single short line between them, which goes as well."""
-        if not self.weights:
-            return lines
-        hit = [i for i, s in enumerate(lines) if self.speaks(s)]
-        drop = set()
+    def dropped(self, lines: list[str]) -> set[int]:
+        """Places of advert lines: two or more next to each other, or with a single short line between them, which goes as well."""
+        hit = [i for i, s in enumerate(lines) if self.speaks(s)] if self.weights else []
+        drop: set[int] = set()
         for a, b in zip(hit, hit[1:]):
             if b - a == 1 or b - a == 2 and len(lines[a + 1]) <= ADVERT_LINE + 4:
                 drop.update(range(a, b + 1))
-        return [s for i, s in enumerate(lines) if i not in drop] if drop else lines
-
+        return drop
 
-def without_short_runs(lines: list[str]) -> list[str]:
-    """The lines but those of ``short_runs``."""
-    drop = {k for a, b in short_runs(lines) for k in range(a, b)}
-    return [s for i, s in enumerate(lines) if i not in drop] if drop else lines
+    def without(self, lines: list[str]) -> list[str]:
+        drop = self.dropped(lines)
+        return [s for i, s in enumerate(lines) if i not in drop] if drop else lines
 
 
 def readings(lines: list[str], adverts: Adverts) -> list[list[str]]:
-    """A page's lines without adverts, and where it differs the same with all short runs left out too, which may take headings and short lines along."""
-    first, second = adverts.without(lines), adverts.without(without_short_runs(lines))
-    return [first] if second == first else [first, second]
+    """A page's lines without adverts, and where short runs are left over the same without these too, which may take headings and short lines along."""
+    drop = adverts.dropped(lines)
+    first = [s for i, s in enumerate(lines) if i not in drop] if drop else lines
+    runs = {k for a, b in short_runs(lines) for k in range(a, b)}
+    if runs <= drop:
+        return [first]
+    return [first, adverts.without([s for i, s in enumerate(lines) if i not in runs])]
 
 
 def is_running_head(line: str, title: str | None) -> bool:
