@@ -53,11 +53,36 @@ def test_every_text_once_or_in_pieces(spark):
     assert packing.fill_containers(sizes.limit(0), budgets).count() == 0
 
 
+SIZES = "doc_id long, lang string, tokens long, loss_tokens long"
+
+
+def loads(spark, sizes, capacity, **limits):
+    sizes = materialize(spark.createDataFrame(sizes, SIZES), "s")
+    budgets = spark.createDataFrame([(1, capacity, None)], "budget_id int, capacity_tokens int, lang string")
+    bounds = materialize(packing.container_limits(sizes, budgets, **limits), "l")
+    filled = packing.fill_containers(sizes, budgets, bounds)
+    return packing.container_loads(filled, bounds).collect()
+
+
 def test_segment_limit_binds(spark):
-    sizes = spark.createDataFrame([(i, "en", 1, 1) for i in range(50)], "doc_id long, lang string, tokens long, loss_tokens long")
-    budgets = spark.createDataFrame([(1, 1000, None)], "budget_id int, capacity_tokens int, lang string")
-    rows = packing.fill_containers(materialize(sizes, "s"), budgets, most_segments=7).collect()
-    held = {}
-    for r in rows:
-        held[r.container] = held.get(r.container, 0) + 1
-    assert len(rows) == 50 and max(held.values()) == 7
+    got = loads(spark, [(i, "en", 1, 1) for i in range(50)], 1000, segment_tokens=142)
+    assert sum(r.segments for r in got) == 50 and max(r.segments for r in got) == 7
+    assert sum(r.closed_by == "segments" for r in got) == 7
+
+
+def test_loss_limit_binds(spark):
+    # half of the texts bear loss on all tokens, half on none: both must be mixed to fill a container
+    got = loads(spark, [(i, "en", 10, 10 * (i % 2)) for i in range(200)], 100, segment_tokens=1, loss_share=0.5)
+    assert sum(r.tokens for r in got) == 2000 and len(got) == 20
+    assert all(r.tokens == 100 and r.loss_tokens == 50 for r in got)
+    tight = loads(spark, [(i, "en", 10, 10) for i in range(200)], 100, segment_tokens=1, loss_share=0.35)
+    assert all(r.loss_tokens <= 35 and r.closed_by == "loss" for r in tight) and sum(r.segments for r in tight) == 200
+    # a text that alone bears more loss than the limit is not cut, and stays alone
+    lone = loads(spark, [(1, "en", 90, 90), (2, "en", 5, 0), (3, "en", 30, 30)], 100, loss_share=0.5)
+    assert sorted((r.segments, r.tokens) for r in lone) == [(1, 90), (2, 35)]
+
+
+def test_first_line_bears_no_loss(spark):
+    docs = [(1, "The river\nand the lamp", "en"), (2, "no line end", "en"), (3, "ends\n", "en"), (4, "\nstarts", "en")]
+    got = {r.doc_id: (r.tokens, r.loss_tokens) for r in packing.token_sizes(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert got[2][0] == got[2][1] and got[3][1] == 0 and 0 < got[1][1] < got[1][0] and got[4][1] == got[4][0] - 1

@@ -39,6 +39,35 @@ def test_singles_first_then_families_in_turns(spark):
     assert len(rest) == total and {r.graph for r in rest if r.family_size == 0} == {"nul", "emp"}
 
 
+def test_turns_are_counted_without_walking_them():
+    sizes = {1: 4, 3: 2, 10**9: 1}
+    assert varied.whole_turns(sizes, 0) == (0, 0) and varied.whole_turns(sizes, 7) == (1, 7) and varied.whole_turns(sizes, 9) == (1, 7)
+    assert varied.whole_turns(sizes, 10) == (2, 10) and varied.whole_turns(sizes, 5 * 10**8) == (5 * 10**8 - 10, 5 * 10**8)
+    assert varied.whole_turns({}, 5) == (0, 0)
+
+
+def test_many_selections_side_by_side(spark):
+    g = records(spark)
+    wishes = [varied.Wish(1, 70), varied.Wish(2, 92), varied.Wish(3, None), varied.Wish(4, 10, 21, None), varied.Wish(5, 0), varied.Wish(6, 10_000, 20, 20)]
+    got = varied.varied_subsets(g, wishes).collect()
+    size = {k: len({r.graph for r in got if r.selection == k}) for k in range(1, 7)}
+    assert size == {1: 70, 2: 92, 3: 91, 4: 0, 5: 0, 6: g.where("graph_order = 20").count()} and len(got) == sum(size.values())
+    assert {r.graph for r in got if r.selection == 1} == {r.graph for r in varied.varied_subset(g, 70).collect()}
+
+
+def test_pivoting_spans_more_than_a_choice_by_hash(spark):
+    # most records are much alike; pivoting must look for the others, which a choice by hash rarely meets
+    rng = np.random.RandomState(3)
+    rows = [(f"a{i:04d}", 20, [4] * 20 + [6] * int(rng.randint(1, 4)) + [30 + 2 * int(rng.randint(0, 3)), 200 + 2 * i], 0, 0) for i in range(900)]
+    rows += [(f"z{i:02d}", 20, sorted(int(x) for x in 4 + 2 * rng.randint(0, 30, 25)), 0, 0) for i in range(40)]
+    g = varied.face_graphs(spark.createDataFrame(rows, ROWS)).cache()
+    wish = [varied.Wish(1, 40)]
+    ours, plain = (varied.varied_subsets(g, wish, by_hash=b).cache() for b in (False, True))
+    assert ours.count() == plain.count() == 40
+    assert varied.log_volume(ours)[1] > varied.log_volume(plain)[1] + 20
+    assert sum(r.graph[0] == "z" for r in ours.collect()) > 4 * sum(r.graph[0] == "z" for r in plain.collect())
+
+
 def test_nothing_to_choose_from(spark):
     g = records(spark)
     assert varied.varied_subset(g, 0).count() == 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +92,14 @@ def p4_days(spark: SparkSession, sf: str) -> DataFrame:
     parted = days.withColumn("part", F.datediff("day", F.lit("2020-01-01"))).drop("day")
     merged = quantiles.merge_by(parted, ["census_slice", "metric"], 2 * P4_EPS)
     out = quantiles.percentiles(merged, ["census_slice", "metric"], {"median": 0.5, "p99": 0.99})
-    return out.select("census_slice", "metric", "n", F.round("rank_error", 1).alias("rank_error"), "median", "p99")
+    within = (F.col("rank_error") <= 2 * P4_EPS * F.col("n") + 0.5).alias("within_error")
+    return out.select("census_slice", "metric", "n", within, F.round("median", 9).alias("median"), F.round("p99", 9).alias("p99"))
+
+
+#: The values agree where a slice has at most 1/(2 P4_EPS) of them, since summaries keep those whole; beyond that they are as near as ``within_error`` says.
+P4_DAYS_SQL = f"""
+WITH {P4_VALUES}
+SELECT census_slice, metric, count(*) AS n, true AS within_error, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.99), 9) AS p99 FROM valid GROUP BY ALL"""
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,29 +142,75 @@ WITH graphs AS (
 SELECT min(h) AS canonical_graph_hash FROM graphs GROUP BY sig HAVING count(*) = 1"""
 
 
+def _wishes(spark: SparkSession, sf: str) -> list[varied.Wish]:
+    rows = table(spark, sf, "candidate_selections").select("selection_id", "subset_size", "lowest_order", "highest_order").collect()
+    return [varied.Wish(r.selection_id, r.subset_size or 0, r.lowest_order, r.highest_order) for r in rows]
+
+
 def p5_selections(spark: SparkSession, sf: str) -> DataFrame:
     """The graphs of every row of candidate_selections, chosen anew."""
     graphs = materialize(varied.face_graphs(table(spark, sf, "source_records")), "graphs")
-    parts = []
-    for s in table(spark, sf, "candidate_selections").select("selection_id", "subset_size", "lowest_order", "highest_order").collect():
-        within = graphs.where(F.col("graph_order").between(s.lowest_order, s.highest_order))
-        parts.append(varied.varied_subset(within, s.subset_size or 0, seed=1000 * s.selection_id).select(F.lit(s.selection_id).alias("selection_id"), "*"))
-    chosen = reduce(DataFrame.unionByName, parts)
-    return chosen.select("selection_id", F.col("graph").alias("canonical_graph_hash"), face_signature("sig").alias("face_signature"), F.col("family_size").alias("face_pattern_frequency"))
+    chosen = varied.varied_subsets(graphs, _wishes(spark, sf))
+    return chosen.select(
+        F.col("selection").alias("selection_id"), F.col("graph").alias("canonical_graph_hash"), F.coalesce(face_signature("sig"), F.lit("")).alias("face_signature"),
+        F.col("family_size").alias("face_pattern_frequency"),
+    )
 
 
-def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = materialize(packing.token_sizes(table(spark, sf, "documents")), "sizes")
-    return packing.fill_containers(sizes, table(spark, sf, "token_budgets"))
+def p5_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every selection: graphs, different multisets, and the volume their features span, beside that of a choice by hash within the same tiers."""
+    graphs, wishes = materialize(varied.face_graphs(table(spark, sf, "source_records")), "graphs"), _wishes(spark, sf)
+    ways = [materialize(varied.varied_subsets(graphs, wishes, by_hash=b), "chosen") for b in (False, True)]
+    volumes = [varied.log_volume(w.where("family_size > 0")) for w in ways]
+    told = spark.createDataFrame([(w.selection, *(v.get(w.selection) for v in volumes)) for w in wishes], "selection_id long, log_volume double, log_volume_by_hash double")
+    counted = [w.groupBy(F.col("selection").alias("selection_id")).agg(F.count("*").alias(f"graphs{x}"), F.countDistinct("sig").alias(f"multisets{x}")) for w, x in zip(ways, ("", "_by_hash"))]
+    return told.join(counted[0], "selection_id").join(counted[1], "selection_id").select("selection_id", "graphs", "multisets", "multisets_by_hash", F.round("log_volume", 4).alias("log_volume"), F.round("log_volume_by_hash", 4).alias("log_volume_by_hash"))
 
 
-def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers, tokens and unused room of each budget."""
-    by_container = p6_containers(spark, sf).groupBy("budget_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("texts"))
-    by_budget = by_container.groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.max("texts").alias("most_texts"))
-    unused = F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 5).alias("unused_share")
-    return table(spark, sf, "token_budgets").select("budget_id", "capacity_tokens").join(by_budget, "budget_id").select("*", unused)
+def _filled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Containers of every budget and their limits."""
+    sizes, budgets = materialize(packing.token_sizes(table(spark, sf, "documents")), "sizes"), table(spark, sf, "token_budgets")
+    limits = materialize(packing.container_limits(sizes, budgets), "limits")
+    return packing.fill_containers(sizes, budgets, limits), limits
+
 
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return _filled(spark, sf)[0]
 
-QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days, "p5_found": p5_found, "p5_selections": p5_selections, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources}
-SQL = {"p3_found": P3_SQL, "p3_orders": P3_ORDERS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers of each budget: limits, the three loads, unused room, and the share of containers that each limit closed."""
+    loads = packing.container_loads(*_filled(spark, sf))
+    closed = lambda by: F.round(F.avg((F.col("closed_by") == by).cast("double")), 5).alias(f"closed_by_{by}")
+    out = loads.groupBy("budget_id", "capacity_tokens", "most_segments", "most_loss").agg(
+        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("segments").alias("segments"), F.sum("loss_tokens").alias("loss_tokens"),
+        F.max("tokens").alias("fullest"), F.max("segments").alias("most_texts"), *map(closed, ("tokens", "segments", "loss")),
+    )
+    return out.withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 5))
+
+
+def p6_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per budget its texts, those that are whole or in pieces that make them up, and containers beyond a limit."""
+    filled, limits = _filled(spark, sf)
+    filled = materialize(filled, "filled")
+    lone = F.col("segments") == 1
+    over = packing.container_loads(filled, limits).groupBy("budget_id").agg(
+        F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("over_capacity"), F.count_if(F.col("segments") > F.col("most_segments")).alias("over_segments"),
+        F.count_if((F.col("loss_tokens") > F.col("most_loss")) & ~lone).alias("over_loss"),
+    )
+    after = F.col("start_token") + F.col("tokens")
+    texts = filled.groupBy("budget_id", "doc_id").agg(F.count("*").alias("pieces"), F.max("piece").alias("last"), F.min("start_token").alias("begin"), F.max(after).alias("end"), F.sum("tokens").alias("tokens"))
+    capacity = F.col("capacity_tokens")
+    whole = (F.col("begin") == 0) & (F.col("end") == F.col("tokens")) & (F.col("pieces") == F.col("last") + 1) | (F.col("pieces") == 1) & (F.col("begin") == 0)
+    joined = texts.join(F.broadcast(limits), "budget_id")
+    by_text = joined.groupBy("budget_id").agg(F.count("*").alias("texts"), F.count_if(~whole).alias("broken"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("cut_in_vain"))
+    return by_text.join(over, "budget_id")
+
+
+P6_AUDIT_SQL = """
+SELECT budget_id, count(*) AS texts, 0 AS broken, 0 AS cut_in_vain, 0 AS over_capacity, 0 AS over_segments, 0 AS over_loss
+FROM token_budgets b JOIN documents d ON length(d.text) > 0 AND (b.lang IS NULL OR regexp_matches(lower(trim(d.lang)), '^(en|eng|english)([-_ (/].*)?$')) WHERE b.lang IS NULL OR b.lang = 'en' GROUP BY 1"""
+
+
+QUERIES = {"p3_found": p3_found, "p3_orders": p3_orders, "p4_found": p4_found, "p4_days": p4_days, "p5_found": p5_found, "p5_selections": p5_selections, "p5_spread": p5_spread, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_audit": p6_audit, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources}
+SQL = {"p3_found": P3_SQL, "p3_orders": P3_ORDERS_SQL, "p4_found": P4_SQL, "p4_days": P4_DAYS_SQL, "p5_found": P5_SQL, "p6_audit": P6_AUDIT_SQL}
