@@ -1,10 +1,9 @@
 """Problem 8: how demanding the article text of each page is, by a familiar-word formula.
 
 The shares of words outside high-frequency lists, taken from the document frequencies of the whole
-corpus, and the average sentence length are weighed into four levels. The lists are nested: each holds the words
-found in at least so many documents, the bounds being quantiles of the document frequencies over all words of all
-documents. Words that hardly any document has are misread words, broken pieces and names; they count neither as familiar
-nor as unfamiliar.
+corpus, and the average sentence length are weighed into four levels. The lists are nested: each holds a share of the
+words, the most frequent ones, so the bounds are quantiles of the document frequencies. Words that hardly any document
+has are misread words, broken pieces and names; they count neither as familiar nor as unfamiliar.
 
 The weights are fitted on a bounded sample of readers' labels (``LABELS`` rows, those of the least
 hash); counts, lists and scores cover every document.
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .pages import Adverts, joined_text, ordered_pages
 
-#: Quantiles of the document frequencies that bound the lists: at 0.3 the words of smaller frequency make up 30 % of all (document, word) pairs.
-QUANTILES = tuple(k / 50 for k in range(1, 16))
+#: The lists: the most frequent 30 %, 28 % and so on to 2 % of all words counted, by their document frequencies.
+LISTS = tuple(round(0.02 * k, 2) for k in range(15, 0, -1))
 #: A word of fewer documents than this share isn't counted; so the lexicon has at most (words a page) / KNOWN entries.
 KNOWN = 0.002
 LABELS = 20_000
@@ -95,13 +94,9 @@ def _measure(rank_of, lists: int):
     return run
 
 
-def list_bounds(frequencies: np.ndarray, quantiles: tuple[float, ...] = QUANTILES) -> np.ndarray:
-    """The document frequencies at which the words of smaller ones make up each quantile of all pairs of a document and a word of it."""
-    if not len(frequencies):
-        return np.zeros(len(quantiles))
-    rising = np.sort(frequencies)
-    upto = np.cumsum(rising)
-    return rising[np.minimum(np.searchsorted(upto, np.array(quantiles) * upto[-1]), len(rising) - 1)]
+def list_bounds(frequencies: np.ndarray, shares: tuple[float, ...] = LISTS) -> np.ndarray:
+    """The document frequency from which a word is among the most frequent of each share of the words."""
+    return np.quantile(frequencies, 1 - np.array(shares), method="inverted_cdf") if len(frequencies) else np.zeros(len(shares))
 
 
 def page_features(documents: DataFrame, keep: Column | None = None, adverts: Adverts | None = None) -> DataFrame:
@@ -115,7 +110,7 @@ def page_features(documents: DataFrame, keep: Column | None = None, adverts: Adv
     common = read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, KNOWN * total)).toPandas()
     n = common["n"].to_numpy().astype(np.int64)
     rank = dict(zip(common["word"], (n[:, None] >= list_bounds(n)[None, :]).sum(axis=1).tolist()))
-    return docs.select("doc_id", "sentences", "words").mapInArrow(_measure(sc.broadcast(rank), len(QUANTILES)), "doc_id long, features array<double>")
+    return docs.select("doc_id", "sentences", "words").mapInArrow(_measure(sc.broadcast(rank), len(LISTS)), "doc_id long, features array<double>")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
