@@ -102,8 +102,8 @@ def _dart_arrays(rotation: list[list[int]]) -> tuple[np.ndarray, ...]:
     return tail, head, reverse, first + np.stack([(place + 1) % size, (place - 1) % size]), degree
 
 
-def least_rooting(rotation: list[list[int]]) -> tuple[list[list[int]], int]:
-    """Least breadth-first code over all rooted darts and both orientations, and how many of these give it.
+def least_rooting(rotation: list[list[int]]) -> tuple[list[list[int]], int, list[int], bool]:
+    """Least breadth-first code over all rooted darts and both orientations, how many of these give it, and of the first of them each vertex's label and whether it is mirrored.
 
     A rooting is a row of arrays: labels by vertex, the dart at which each labelled vertex's turn begins,
     vertices by label. All rootings go on by one vertex at a time, dart after dart for all at once, and
@@ -136,7 +136,7 @@ def least_rooting(rotation: list[list[int]]) -> tuple[list[list[int]], int]:
             least = least[row[least, k] == row[least, k].min()]
         code.append([int(v) for v in row[least[0]] if v >= 0])
         label, begin, by_label, count, way = label[least], begin[least], by_label[least], count[least], way[least]
-    return code, len(count)
+    return code, len(count), label[0].tolist(), bool(way[0])
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
@@ -153,3 +153,14 @@ def canonical_hashes(graphs: DataFrame) -> DataFrame:
 def automorphism_count(rotation: pd.Series) -> pd.Series:
     """Order of the automorphism group of a 3-connected plane graph, reflections included."""
     return rotation.map(lambda rows: None if rows is None else least_rooting([[int(x) for x in r] for r in rows])[1])
+
+
+@F.pandas_udf(T.StructType([T.StructField("labels", T.ArrayType(T.IntegerType())), T.StructField("mirrored", T.BooleanType())]))
+def _labelling(rotation: pd.Series) -> pd.DataFrame:
+    found = [(None, None) if rows is None else ([0] * len(rows), False) if not any(len(r) for r in rows) else least_rooting([[int(x) for x in r] for r in rows])[2:] for rows in rotation]
+    return pd.DataFrame({"labels": [a for a, _ in found], "mirrored": [b for _, b in found]})
+
+
+def canonical_labellings(graphs: DataFrame) -> DataFrame:
+    """(graph, code, labels, mirrored): the canonical code with a labelling of the vertices that gives it, and whether the plane is turned over for it."""
+    return graphs.select("graph", _codes("rotation").alias("code"), _labelling("rotation").alias("l")).select("graph", "code", "l.labels", "l.mirrored")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import norm_edge
 from ..session import discard, materialize
 
+#: The findings of ``validate`` in the words that records of them hold.
 REASONS = ["graph has self-loops", "graph has parallel edges", "graph is not cubic", "graph is not bipartite", "graph is not 3-vertex-connected"]
 
 
@@ -157,3 +158,12 @@ def cofacial_pairs(face_edges: DataFrame) -> DataFrame:
     e = face_edges.select("graph", "face", F.struct("u", "v").alias("required"))
     pairs = e.join(face_edges.select("graph", "face", F.struct("u", "v").alias("forbidden")), ["graph", "face"]).where("required <> forbidden")
     return pairs.groupBy("graph", "required", "forbidden").agg(F.array_sort(F.collect_set("face")).alias("faces"))
+
+
+def connected_subsets(edges: DataFrame, subsets: DataFrame) -> DataFrame:
+    """(graph, subset, connected): whether the vertices of each subset (graph, subset, node) hang together without the others."""
+    part = subsets.select("graph", "subset", "node").distinct()
+    e = edges.join(part.withColumnRenamed("node", "u"), ["graph", "u"]).join(part.withColumnRenamed("node", "v"), ["graph", "subset", "v"])
+    key = F.struct("graph", "subset").alias("graph")
+    found = components(e.select(key, "u", "v"), part.select(key, "node")).groupBy("graph").agg(F.countDistinct("component").alias("parts"))
+    return found.select("graph.graph", "graph.subset", (F.col("parts") == 1).alias("connected"))

@@ -295,3 +295,10 @@ def packing_supports(grid: DataFrame) -> DataFrame:
 def structural_packing(grid: DataFrame) -> DataFrame:
     """(a, b, required, forbidden): the pairs of ``packing_supports``; ((a+2)(b+2)-1)/2 of them, which proves the separation number."""
     return packing_supports(grid).select("graph.a", "graph.b", "required", "forbidden")
+
+
+def block_overlap(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(graph, blocks, found, all_found): how many of a graph's blocks (graph, block array) are blocks of the target too, whatever their order."""
+    have = target.select("graph", F.array_sort("block").alias("block")).distinct().withColumn("have", F.lit(True))
+    met = source.select("graph", F.array_sort("block").alias("block")).join(have, ["graph", "block"], "left")
+    return met.groupBy("graph").agg(F.count("*").alias("blocks"), F.count("have").alias("found")).withColumn("all_found", F.col("blocks") == F.col("found"))

@@ -21,6 +21,18 @@ def merge_faults(left: DataFrame, right: DataFrame, key: list[str], same: list[s
     return both.select(*key, fault.alias("fault")).where("fault is not null").unionByName(twice(left, "left")).unionByName(twice(right, "right"))
 
 
+def evidence(leaders: DataFrame, held: dict[str, DataFrame], key: str, single: tuple[str, ...] = ()) -> DataFrame:
+    """(key, a count for each name, faults): how many rows every leader has in each of ``held``, and what it lacks.
+
+    A fault is ``no <name>`` where there is none, and ``several <name>`` where there is more than one of what should be ``single``. Leaders count once.
+    """
+    out = leaders.select(key).distinct()
+    for name, df in held.items():
+        out = out.join(df.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    told = [F.when(F.col(n) == 0, F.lit(f"no {n}")).when((F.col(n) > 1) & F.lit(n in single), F.lit(f"several {n}")) for n in held]
+    return out.withColumn("faults", F.array_join(F.filter(F.array(*told), lambda f: f.isNotNull()), ", "))
+
+
 def compare_fields(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], differ: Column) -> DataFrame:
     """(key, field, left, right): one row for each numeric field that differs by the rule ``differ`` over left and right.
 

@@ -57,9 +57,9 @@ def pruned(df: DataFrame, cap: str, cost: str, key: str, per_cap: int, overall:
     return best.unionByName(df.orderBy(cost, key).limit(overall)).distinct()
 
 
-def first_by(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
-    """One row of each group, the first in a total order."""
-    return df.withColumn("r__", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where("r__ = 1").drop("r__")
+def largest_gaps(df: DataFrame, gap: str, ties: list[str], n: int) -> DataFrame:
+    """The ``n`` rows of the largest gap, equal ones by rising ``ties``; rows without a gap take no part."""
+    return df.where(F.col(gap).isNotNull()).orderBy(F.desc(gap), *[F.asc_nulls_first(t) for t in ties]).limit(n)
 
 
 def best_sequence(candidates: DataFrame, moves: DataFrame) -> DataFrame:

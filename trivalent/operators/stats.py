@@ -174,6 +174,12 @@ def correlations(df: DataFrame, scope: str, outcome: str, metrics: list[str]) ->
     return ranked.groupBy(*g).agg(F.count("*").alias("n"), pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"))
 
 
+def summary_by_kind(df: DataFrame, groups: list[str], kind: str, sums: dict[str, Column]) -> DataFrame:
+    """One row a group with ``<kind>_<name>`` for every aggregate and every kind that occurs in ``df``; kinds are few, as they are columns."""
+    kinds = sorted(r[0] for r in df.select(kind).where(F.col(kind).isNotNull()).distinct().collect())
+    return df.groupBy(*groups).pivot(kind, kinds).agg(*[c.alias(name) for name, c in sums.items()])
+
+
 def prevalence(df: DataFrame, pattern: Column, name: str = "pattern") -> DataFrame:
     """(pattern, frequency, prevalence, surprisal in bits) of each pattern; a null pattern isn't counted."""
     counts = df.select(pattern.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("frequency"))

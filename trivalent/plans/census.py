@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import face_signature, norm_hash
@@ -235,14 +235,10 @@ def generation_contiguity(spark: SparkSession, sf: str) -> DataFrame:
 WITH d AS (SELECT DISTINCT generation_index AS i FROM source_records WHERE generation_index IS NOT NULL), n AS (SELECT i, lead(i) OVER (ORDER BY i) AS j FROM d)
 SELECT 'source' AS holder, i + 1 AS gap_from, j - 1 AS gap_to FROM n WHERE j > i + 1""")
 def generation_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Stretches of generation indexes that no source record has, found within ranges of 4096 and between neighbouring ranges."""
+    """Stretches of generation indexes that no source record has; neighbours are found across range partitions."""
     once = table(spark, sf, "source_records").select("generation_index").where("generation_index is not null").distinct()
-    cells = once.withColumn("cell", F.floor(F.col("generation_index") / 4096))
-    inside = quality.gaps(cells, ["cell"], "generation_index").select("gap_from", "gap_to")
-    spans = cells.groupBy("cell").agg(F.min("generation_index").alias("a"), F.max("generation_index").alias("z"))
-    after = F.lead("a").over(Window.orderBy("cell"))  # one row per 4096 indexes
-    between = spans.withColumn("b", after).where("b > z + 1").select((F.col("z") + 1).alias("gap_from"), (F.col("b") - 1).alias("gap_to"))
-    return inside.unionByName(between).select(F.lit("source").alias("holder"), "gap_from", "gap_to")
+    pairs = stats.adjacent_pairs(once, [], ["generation_index"], "generation_index", "after").where(F.col("after") > F.col("generation_index") + 1)
+    return pairs.select(F.lit("source").alias("holder"), (F.col("generation_index") + 1).alias("gap_from"), (F.col("after") - 1).alias("gap_to"))
 
 
 @query("""
@@ -429,3 +425,91 @@ def source_merge_faults(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "source_records").select(norm_hash("canonical_graph_hash").alias("canonical_graph_hash"), F.col("requested_vertex_count").alias("n"))
     r = latest_runs(spark, sf, "graph_order").withColumnRenamed("graph_order", "n")
     return merge_faults(s, r, ["canonical_graph_hash"], ["n"])
+
+
+@query(f"""
+WITH {ONCE}, a AS (SELECT lower(trim(canonical_graph_hash)) AS h, max(greedy_size) AS greedy_size FROM source_records GROUP BY 1)
+SELECT result_id, canonical_graph_hash, number_of_witness_cycles - greedy_size AS gap, number_of_witness_cycles FROM once JOIN a ON h = canonical_graph_hash
+WHERE number_of_witness_cycles - greedy_size IS NOT NULL ORDER BY gap DESC, number_of_witness_cycles, result_id LIMIT 25""")
+def largest_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """The 25 runs whose witness cycles exceed the source's greedy size most; equal ones by fewer cycles, then by id."""
+    sizes = table(spark, sf, "source_records").groupBy(norm_hash("canonical_graph_hash").alias("canonical_graph_hash")).agg(F.max("greedy_size").alias("greedy_size"))
+    joined = runs_once(spark, sf).select("result_id", "canonical_graph_hash", "number_of_witness_cycles").join(sizes, "canonical_graph_hash")
+    gaps = joined.select("result_id", "canonical_graph_hash", (F.col("number_of_witness_cycles") - F.col("greedy_size")).alias("gap"), "number_of_witness_cycles")
+    return ranking.largest_gaps(gaps, "gap", ["number_of_witness_cycles", "result_id"], 25)
+
+
+@query(f"""
+WITH {LAST}, l AS (
+  UNPIVOT (SELECT graph_order, canonical_graph_hash, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in METRICS)} FROM latest) ON {', '.join(METRICS)} INTO NAME metric VALUE value),
+r AS (SELECT canonical_graph_hash AS h, row_number() OVER (PARTITION BY graph_order, metric ORDER BY value DESC, canonical_graph_hash) AS place FROM l),
+leaders AS (SELECT DISTINCT h FROM r WHERE place <= 3),
+s AS (SELECT lower(trim(canonical_graph_hash)) AS h, count(*) AS sources FROM source_records GROUP BY 1), b AS (SELECT lower(trim(graph_hash)) AS h, count(*) AS bundles FROM artifact_bundles GROUP BY 1)
+SELECT h AS canonical_graph_hash, coalesce(sources, 0) AS sources, coalesce(bundles, 0) AS bundles,
+  concat_ws(', ', CASE WHEN sources IS NULL THEN 'no sources' WHEN sources > 1 THEN 'several sources' END, CASE WHEN bundles IS NULL THEN 'no bundles' END) AS faults FROM leaders LEFT JOIN s USING (h) LEFT JOIN b USING (h)""")
+def leader_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaders of any metric beside their source records and artifact bundles, and what they lack of them."""
+    from ..operators.merging import evidence
+
+    leaders = ranking.leaderboards(latest_runs(spark, sf, "graph_order", *METRICS), "canonical_graph_hash", METRICS, 3, ["graph_order"])
+    h = "canonical_graph_hash"
+    held = {"sources": table(spark, sf, "source_records").select(norm_hash(h).alias(h)), "bundles": table(spark, sf, "artifact_bundles").select(norm_hash("graph_hash").alias(h))}
+    return evidence(leaders, held, h, ("sources",))
+
+
+STRATA = [("witness", METRICS[0], 10), ("iterations", METRICS[1], 5), ("constraints", METRICS[2], 5), ("certified", METRICS[3], 5)]
+
+
+@query(f"""{PROFILE_SQL},
+l3 AS (UNPIVOT (SELECT canonical_graph_hash AS h, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in METRICS)} FROM latest) ON {', '.join(METRICS)} INTO NAME metric VALUE value),
+boards AS (SELECT h, metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, h) AS k FROM l3),
+scores AS (SELECT h, round(sum(greatest(0, least(8, CASE WHEN p.robust_scale = 0 THEN 0 ELSE (l3.value - p.median) / p.robust_scale END))), 6) AS score FROM l3 JOIN p USING (metric) GROUP BY 1),
+sigs AS (SELECT canonical_graph_hash AS h, list_sort(face_size_multiset) AS f FROM latest WHERE len(face_size_multiset) > 0),
+alone AS (SELECT min(h) AS h FROM sigs GROUP BY f HAVING count(*) = 1),
+full_rows AS (SELECT canonical_graph_hash AS h, number_of_witness_cycles AS w, total_subtour_iterations AS i, total_subtour_constraints AS c FROM latest WHERE number_of_witness_cycles IS NOT NULL AND total_subtour_iterations IS NOT NULL AND total_subtour_constraints IS NOT NULL),
+c1 AS (SELECT h FROM full_rows ORDER BY w, h LIMIT 1), c2 AS (SELECT h FROM full_rows WHERE h NOT IN (SELECT h FROM c1) ORDER BY i DESC, h LIMIT 1),
+c3 AS (SELECT h FROM full_rows WHERE h NOT IN (SELECT h FROM c1 UNION SELECT h FROM c2) ORDER BY c DESC, h LIMIT 1),
+strata AS ({' UNION ALL '.join(f"SELECT h, {i + 1} AS p, k, '{code}' AS code FROM boards WHERE metric = '{m}' AND k <= {n}" for i, (code, m, n) in enumerate(STRATA))}
+  UNION ALL SELECT h, 5, 0, 'unique faces' FROM alone
+  UNION ALL SELECT h, 6, k, 'outlier' FROM (SELECT h, row_number() OVER (ORDER BY score DESC, h) AS k FROM scores) WHERE k <= 5
+  UNION ALL SELECT h, 7, 1, 'fewest witnesses' FROM c1 UNION ALL SELECT h, 7, 2, 'most iterations' FROM c2 UNION ALL SELECT h, 7, 3, 'most constraints' FROM c3)
+SELECT h AS canonical_graph_hash, CAST(min(p) AS INTEGER) AS best_priority, arg_min(k, p * 1000 + k) AS best_position, string_agg(code, ',' ORDER BY p, k) AS reasons FROM strata GROUP BY 1""")
+def stratified_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of seven strata with every reason: leaders of four metrics, graphs alone with their faces, outliers by robust scores, and controls."""
+    h = "canonical_graph_hash"
+    runs = materialize(latest_runs(spark, sf, "face_size_multiset", *METRICS), "latest")
+    strata = [(code, i + 1, ranking.leaderboards(runs, h, [m], n).select(h, F.col("place").alias("position"))) for i, (code, m, n) in enumerate(STRATA)]
+    faces = runs.where("size(face_size_multiset) > 0").groupBy(F.array_sort("face_size_multiset").alias("f")).agg(F.min(h).alias(h), F.count("*").alias("n")).where("n = 1")
+    strata.append(("unique faces", 5, faces.select(h, F.lit(0).alias("position"))))
+    long = stats.to_long(runs, [h], METRICS).where(F.col("value").isNotNull())
+    scores = stats.outlier_scores(stats.robust_z(long, ["metric"], "value", stats.robust_profile(long, ["metric"], "value")), [h]).withColumn("score", F.round("score", 6))
+    strata.append(("outlier", 6, ranking.leaderboards(scores, h, ["score"], 5).select(h, F.col("place").alias("position"))))
+    whole = runs.dropna(subset=METRICS[:3])
+    picks = materialize(ranking.controls(whole, h, [("fewest witnesses", F.col(METRICS[0])), ("most iterations", -F.col(METRICS[1])), ("most constraints", -F.col(METRICS[2]))]), "controls")
+    strata += [(code, 7, picks.where(F.col("code") == code).select(h, F.lit(i + 1).alias("position"))) for i, code in enumerate(("fewest witnesses", "most iterations", "most constraints"))]
+    return ranking.stratified(strata, h)
+
+
+@query("""
+WITH b AS (SELECT lower(trim(graph_hash)) AS h, original_record AS r, copied_at FROM artifact_bundles WHERE json_valid(original_record)),
+named AS (SELECT h, copied_at, lower(trim(r->>'$.canonical_graph_hash')) AS own, CAST(r->>'$.edge_count' AS INTEGER) AS m, CAST(r->>'$.requested_vertex_count' AS INTEGER) AS n,
+  CAST(r->>'$.all_edge_pairs.graph_order' AS INTEGER) AS n2, CAST(r->'$.face_size_multiset' AS INTEGER[]) AS f FROM b),
+rules AS (SELECT h, unnest([CASE WHEN own IS DISTINCT FROM h THEN 'another graph' END, CASE WHEN NOT coalesce(2 * m = 3 * n, false) THEN 'edges of no cubic graph' END,
+  CASE WHEN NOT coalesce(n = n2, false) THEN 'analysis of another order' END, CASE WHEN NOT coalesce(list_sum(f) = 2 * m, false) THEN 'faces of other edges' END]) AS fault FROM named),
+again AS (SELECT h FROM (SELECT DISTINCT h, copied_at, n, m FROM named) GROUP BY h, copied_at HAVING count(*) > 1)
+SELECT h AS graph_hash, fault, count(*) AS rows FROM rules WHERE fault IS NOT NULL GROUP BY ALL UNION ALL SELECT h, 'copies of one time differ', count(*) FROM again GROUP BY 1""")
+def bundle_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Bundles whose record doesn't go with its graph or with itself, and copies of one time that differ."""
+    get = lambda path: F.get_json_object("original_record", path)
+    rows = table(spark, sf, "artifact_bundles").where(F.try_parse_json("original_record").isNotNull()).select(
+        norm_hash("graph_hash").alias("graph_hash"), "copied_at", norm_hash(get("$.canonical_graph_hash")).alias("own"), get("$.edge_count").cast("int").alias("m"),
+        get("$.requested_vertex_count").cast("int").alias("n"), get("$.all_edge_pairs.graph_order").cast("int").alias("n2"), F.from_json(get("$.face_size_multiset"), "array<int>").alias("f"),
+    )
+    c = F.col
+    rules = {
+        "another graph": c("own").eqNullSafe(c("graph_hash")), "edges of no cubic graph": 2 * c("m") == 3 * c("n"), "analysis of another order": c("n") == c("n2"),
+        "faces of other edges": F.aggregate("f", F.lit(0).cast("bigint"), lambda a, x: a + x) == 2 * c("m"),
+    }
+    broken = quality.violations(rows, ["graph_hash"], rules).groupBy("graph_hash", F.col("rule").alias("fault")).agg(F.count("*").alias("rows"))
+    again = rows.select("graph_hash", "copied_at", "n", "m").distinct().groupBy("graph_hash", "copied_at").agg(F.count("*").alias("k")).where("k > 1")
+    return broken.unionByName(again.groupBy("graph_hash").agg(F.lit("copies of one time differ").alias("fault"), F.count("*").alias("rows")).select("graph_hash", "fault", "rows"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import cycle_edges, norm_hash
-from ..operators import cycles, graph, separation
+from ..operators import cycles, flexibility, graph, separation
 from ..operators.nested import shred
 from ..operators.reconcile import latest_per_key
 from ..session import materialize, table
@@ -125,6 +125,28 @@ def witness_separation(spark: SparkSession, sf: str) -> DataFrame:
     return cov.join(anti, "graph").withColumnRenamed("graph", "record_id")
 
 
+@query(f"""WITH {CYCLES},
+held AS (SELECT DISTINCT c.record_id, analysis, c.id, u, v FROM steps s JOIN cycles c USING (id)),
+signs AS (SELECT record_id, analysis, u, v, list(id) AS s FROM held GROUP BY ALL),
+pairs AS (SELECT x.record_id, x.analysis, len(list_filter(x.s, lambda c: NOT list_contains(y.s, c))) AS n, [x.u, x.v, y.u, y.v] AS first
+  FROM signs x JOIN signs y ON x.record_id = y.record_id AND x.analysis = y.analysis AND (x.u, x.v) <> (y.u, y.v) WHERE x.analysis = 'all_edge_pairs'),
+arcs AS (SELECT record_id, u, v FROM signs WHERE analysis = 'three_edge_paths' UNION ALL SELECT record_id, v, u FROM signs WHERE analysis = 'three_edge_paths'),
+paths AS (SELECT DISTINCT m.record_id, CASE WHEN [l.v, m.u, m.v, r.v] < [r.v, m.v, m.u, l.v] THEN [l.v, m.u, m.v, r.v] ELSE [r.v, m.v, m.u, l.v] END AS p
+  FROM arcs m JOIN arcs l ON l.record_id = m.record_id AND l.u = m.u JOIN arcs r ON r.record_id = m.record_id AND r.u = m.v WHERE m.u < m.v AND l.v <> m.v AND r.v <> m.u AND l.v <> r.v),
+steps3 AS (SELECT record_id, p, least(p[k], p[k + 1]) AS u, greatest(p[k], p[k + 1]) AS v FROM paths, (SELECT unnest([1, 2, 3]) AS k)),
+whole AS (SELECT record_id, p, count(*) AS n FROM (SELECT t.record_id, t.p, h.id FROM steps3 t JOIN held h ON h.record_id = t.record_id AND h.analysis = 'three_edge_paths' AND h.u = t.u AND h.v = t.v GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL),
+met AS (SELECT * FROM pairs UNION ALL SELECT paths.record_id, 'three_edge_paths', coalesce(n, 0), paths.p FROM paths LEFT JOIN whole ON whole.record_id = paths.record_id AND whole.p = paths.p)
+SELECT record_id, analysis, count(*) AS constraints, count(*) FILTER (n > 0) AS satisfied, count(*) = count(*) FILTER (n > 0) AS holds, CAST(min(n) AS INTEGER) AS fewest,
+  array_to_string(arg_min(first, {{'n': n, 'f': first}}), '-') AS hardest FROM met GROUP BY ALL""")
+def recorded_flexibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the edges seen in a record's witnesses: how many constraints of either analysis they satisfy, and the hardest one."""
+    w = witness_cycles(spark, sf)
+    rows = materialize(w.select("analysis", F.col("graph").alias("record_id"), "cycle_id", F.explode(cycle_edges("cycle")).alias("e")).select(F.struct("record_id", "analysis").alias("graph"), "cycle_id", "e.u", "e.v").distinct(), "rows")
+    kinds = [("all_edge_pairs", flexibility.edge_pairs), ("three_edge_paths", flexibility.edge_paths)]
+    each = [verdicts(own, own) for name, verdicts in kinds for own in [rows.where(F.col("graph.analysis") == name)]]
+    return each[0].unionByName(each[1]).select("graph.*", "constraints", "satisfied", "holds", "fewest", F.array_join("hardest", "-").alias("hardest"))
+
+
 @query()
 def witness_covers(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of a greedy cover, of an exact minimum cover and of a packing of the pairs that a record's witnesses separate."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bundles import copy_differences
 from ..operators.nested import hardest_and_witness_rows, shred
+from ..operators.stats import summary_by_kind
 from ..session import table
 
 
@@ -105,8 +106,29 @@ def p2_analyses(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.join(record, ["record_id", "parent_pk"]).drop("parent_pk")
 
 
-QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_analyses": p2_analyses}
+SUMMED = ["number_of_constrained_sat_calls", "number_of_witness_cycles", "total_subtour_iterations", "total_subtour_constraints", "backtracking_queries", "backtracking_agreements"]
+_per = lambda a: ", ".join(
+    [f"count(*) FILTER (analysis = '{a}') AS {a}_graphs", f"count(*) FILTER (analysis = '{a}' AND CAST(a->>'$.property_satisfied' AS BOOLEAN)) AS {a}_satisfied"]
+    + [f"CAST(sum(CAST(a->>'$.{c}' AS BIGINT)) FILTER (analysis = '{a}') AS BIGINT) AS {a}_{c}" for c in SUMMED]
+    + [f"round(max(CAST(a->>'$.maximum_query_time_seconds' AS DOUBLE)) FILTER (analysis = '{a}'), 9) AS {a}_slowest_seconds"]
+)
+ANALYSIS_SUMMARY_SQL = f"""WITH {P2_LAST}
+SELECT CAST(r->>'$.requested_vertex_count' AS INTEGER) AS graph_order, {_per("all_edge_pairs")}, {_per("three_edge_paths")} FROM known GROUP BY 1"""
+
+
+def analysis_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of every order over its records, side by side for each analysis that occurs."""
+    t = shred(table(spark, sf, "census_records"), tags=["record", "analysis"])
+    order = t["record"].select("record_id", F.col("payload.requested_vertex_count").alias("graph_order"))
+    rows = t["analysis"].select("record_id", "analysis", "payload.*").drop("graph_order").join(order, "record_id")
+    sums = {"graphs": F.count(F.lit(1)), "satisfied": F.count_if("property_satisfied"), **{c: F.sum(c) for c in SUMMED}, "slowest_seconds": F.round(F.max("maximum_query_time_seconds"), 9)}
+    out = summary_by_kind(rows, ["graph_order"], "analysis", sums)
+    counts = [c for c in out.columns if c.endswith(("_graphs", "_satisfied"))]
+    return out.fillna(0, counts)
+
+
+QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_analyses": p2_analyses, "analysis_summary": analysis_summary}
 SQL: dict[str, str] = {
     "p1_found": f"{P1_FOUND} SELECT * FROM found", "p1_summary": f"{P1_FOUND} SELECT dataset, diff_kind, field_name, count(*) AS differences FROM found GROUP BY ALL",
-    "p2_found": P2_FOUND_SQL, "p2_analyses": P2_ANALYSES_SQL,
+    "p2_found": P2_FOUND_SQL, "p2_analyses": P2_ANALYSES_SQL, "analysis_summary": ANALYSIS_SUMMARY_SQL,
 }

@@ -50,8 +50,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders written by this driver that nothing has removed yet.
+_WRITTEN: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/trivalent-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/trivalent-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -71,13 +77,23 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized loop state once nothing reads it any more."""
     path = getattr(df, "written_at", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediates this driver wrote; for when the results of its queries have been read or saved, as frames not read yet lose their files."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None, most: int = BROADCAST_BYTES) -> DataFrame:

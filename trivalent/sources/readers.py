@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -119,10 +119,29 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return kept.select("file", F.from_json("value", schema).alias("r")).select("file", "r.*")
 
 
-def latest_lines(lines: DataFrame, key: str, order: str) -> DataFrame:
-    """Of lines with one key the last."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return lines.withColumn("r__", F.row_number().over(w)).where("r__ = 1").drop("r__")
+def find_one(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The one row whose text in ``column`` is ``value``, without case and blanks; none or several are an error when the row is read."""
+    hit = df.where(F.lower(F.btrim(F.col(column))) == value.strip().lower())
+    one = hit.agg(F.count("*").alias("n"), F.first(F.struct(*df.columns)).alias("r"))
+    told = F.raise_error(F.concat(F.lit(f"rows of {value}: "), F.col("n").cast("string"))).cast("boolean")
+    return one.where(F.when(F.col("n") != 1, told).otherwise(True)).select("r.*")
+
+
+def load_graphs(spark: SparkSession, source: str | os.PathLike) -> DataFrame:
+    """Graphs from a path, by its ending (.g6, .jsonl and .jsonl.gz, .csv, .parquet, else planar_code), or, from a text that is no path, its graph6 line."""
+    if isinstance(source, str):
+        return graph6_edges(spark.createDataFrame([(source.strip(), source.strip())], "graph string, line string"), "graph", "line")
+    path = os.fspath(source)
+    if path.endswith(".g6"):
+        lines = spark.read.text(path).where("value <> '' and not value like '>>%'")
+        return graph6_edges(lines.select(F.col("value").alias("graph"), "value"), "graph", "value")
+    if path.endswith((".jsonl", ".jsonl.gz", ".json")):
+        return spark.read.json(path)
+    if path.endswith(".csv"):
+        return spark.read.option("header", True).csv(path)
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    return read_planar(spark, path)
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
