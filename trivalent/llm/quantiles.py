@@ -150,34 +150,45 @@ def _codes(t: pa.Table, names: list[str]) -> np.ndarray:
 
 
 def _merger(names: list[str], eps: float):
-    """Merges the summaries of equal names within a hash partition; a lone one is passed on."""
+    """Merges the summaries of equal names, which follow each other; holds those of one name and a few results at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        kinds = [t.schema.field(c).type for c in names[:-1]]
-        codes = _codes(t, names)
-        order = np.argsort(codes, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], codes[order][1:] != codes[order][:-1])))
-        ends = np.append(starts[1:], len(order))
-        lone = order[starts[ends - starts == 1]]
-        if len(lone):
-            yield from t.take(pa.array(np.sort(lone))).cast(_schema(names[:-1], kinds)).combine_chunks().to_batches()
-        many = np.flatnonzero(ends - starts > 1)
-        for i in range(0, len(many), 500):
-            group = [order[starts[k] : ends[k]] for k in many[i : i + 500]]
-            piece = t.take(pa.array(np.concatenate(group))).combine_chunks()
-            lists = [piece[c].chunk(0) for c in ("vals", "lo", "hi")]
+        kinds: list[pa.DataType] = []
+        now, parts = None, []
+        keys: list[tuple] = []
+        sums: list[tuple] = []
+        size = 0
+
+        def close() -> int:
+            if not parts:
+                return 0
+            keys.append(now)
+            sums.append(parts[0] if len(parts) == 1 else merge_all(parts, eps))
+            return len(sums[-1][0])
+
+        def packed() -> pa.RecordBatch:
+            return _packed(keys, sums, names[:-1], kinds, [k[-1] for k in keys])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
+            kinds = [column(c).type for c in names[:-1]]
+            lists = [column(c) for c in ("vals", "lo", "hi")]
             base = lists[0].offsets.to_numpy()
             flat = tuple(x.values.to_numpy(zero_copy_only=False) for x in lists)
-            sums, at = [], 0
-            for g in group:
-                sums.append(merge_all([_sliced(base, flat, at + j) for j in range(len(g))], eps))
-                at += len(g)
-            keys = t.take(pa.array(np.array([g[0] for g in group]))).select(names)
-            yield _packed([tuple(r[c] for c in names) for r in keys.to_pylist()], sums, names[:-1], kinds, keys["part"].to_pylist())
+            for i, key in enumerate(zip(*[column(c).to_pylist() for c in names])):
+                if parts and key != now:
+                    size += close()
+                    parts = []
+                    if size >= FLUSH_ROWS:
+                        yield packed()
+                        keys, sums, size = [], [], 0
+                now = key
+                parts.append(_sliced(base, flat, i))
+        close()
+        if keys:
+            yield packed()
 
     return run
 
@@ -201,7 +212,8 @@ def merge_by(summaries: DataFrame, groups: list[str], eps: float = 0.001, fan_in
     """Merge summaries of the same group in ``levels`` rounds of at most about ``fan_in`` each.
 
     A group spread over very many partitions is merged in salted parts first, so no task takes more
-    than the parts of one salt. The permitted error grows from eps/2 to eps over the rounds and is
+    than the parts of one salt. Within a partition summaries are sorted by group, by Spark, and merged as they
+    come, so a task holds one group's at a time. The permitted error grows from eps/2 to eps over the rounds and is
     never added up beyond that: every summary carries its own rank bounds.
     """
     out = summaries
@@ -209,7 +221,8 @@ def merge_by(summaries: DataFrame, groups: list[str], eps: float = 0.001, fan_in
         last = level == levels - 1
         allowed = eps * (0.5 + 0.5 * (level + 1) / levels)
         salted = out.withColumn("part", F.lit(0) if last else F.pmod(F.hash("part"), F.lit(fan_in ** (levels - 1 - level))))
-        out = salted.repartition(*groups, "part").mapInArrow(_merger([*groups, "part"], allowed), salted.schema)
+        ordered = salted.repartition(*groups, "part").sortWithinPartitions(*groups, "part")
+        out = ordered.mapInArrow(_merger([*groups, "part"], allowed), salted.schema)
     return out
 
 
