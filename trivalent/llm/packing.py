@@ -25,9 +25,9 @@ from ..session import materialize
 SHARD_ITEMS = 6000
 FULL_ENOUGH = 0.985
 #: A container takes a segment for so many of its tokens, and ``LEAST_SEGMENTS`` at least.
-SEGMENT_TOKENS, LEAST_SEGMENTS = 256, 4
+SEGMENT_TOKENS, LEAST_SEGMENTS = 128, 4
 #: A container's share of loss-bearing tokens may exceed that of all the budget's texts by this factor.
-LOSS_ROOM = 1.002
+LOSS_ROOM = 1.015
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Names and three-letter codes of languages beside their two-letter codes.
 LANGUAGES = {
