@@ -226,15 +226,24 @@ def varied_subsets(graphs: DataFrame, wishes: list[Wish], seed: int = 1, by_hash
         return F.when(ok, F.lit(w.selection).cast("long"))
 
     every = graphs.withColumn("selection", F.explode(F.filter(F.array(*map(within, wishes)), lambda x: x.isNotNull())))
-    ranked = tie_ranks(every.where("size(sig) > 0"), ["selection", "sig"], "graph")
-    pool = materialize(ranked.select("selection", "graph", "sig", F.col("n").alias("family_size"), (F.col("less") + 1).cast("int").alias("member")), "members")
+    held = every.where("size(sig) > 0")
+    families = materialize(held.groupBy("selection", "sig").agg(F.count("*").alias("family_size"), F.min("graph").alias("graph")), "families")
     sizes: dict[int, dict[int, int]] = {w.selection: {} for w in wishes}
-    for r in pool.where("member = 1").groupBy("selection", "family_size").count().collect():  # distinct sizes only: at most sqrt(2 graphs) a wish
+    for r in families.groupBy("selection", "family_size").count().collect():  # distinct sizes only: at most sqrt(2 graphs) a wish
         sizes[r[0]][r[1]] = r[2]
     size = {w.selection: sum(sizes[w.selection].values()) if w.size is None else w.size for w in wishes}
     single = {k: s.get(1, 0) for k, s in sizes.items()}
     first = {k: sum(s.values()) for k, s in sizes.items()}
     turns = {k: whole_turns(s, size[k]) for k, s in sizes.items()}
+    pool = families.select("selection", "graph", "sig", "family_size", F.lit(1).alias("member"))
+    # members are numbered only where a wish goes beyond the first of every family
+    more = {k: t + (size[k] > c) for k, (t, c) in turns.items() if t >= 1 and size[k] > first[k]}
+    if more:
+        key = F.xxhash64("sig").alias("family")
+        ranked = tie_ranks(held.where(_by(more) > 1).select("selection", key, "graph"), ["selection", "family"], "graph").where((F.col("less") >= 1) & (F.col("less") < _by(more)))
+        later = ranked.select("selection", "family", "graph", (F.col("less") + 1).cast("int").alias("member"))
+        pool = pool.unionByName(later.join(families.select("selection", key, "sig", "family_size"), ["selection", "family"]).select(*pool.columns))
+        pool = materialize(pool, "members")
     tiers = [
         (F.col("family_size") == 1, single, {k: min(size[k], n) for k, n in single.items()}),
         ((F.col("family_size") > 1) & (F.col("member") == 1), {k: first[k] - single[k] for k in first}, {k: max(0, min(size[k], first[k]) - single[k]) for k in first}),
@@ -256,8 +265,8 @@ def varied_subsets(graphs: DataFrame, wishes: list[Wish], seed: int = 1, by_hash
         for part in (won, whole if number == 2 else None):
             if part is not None:
                 chosen = part if chosen is None else chosen.unionByName(part)
-    held = {k: sum(s * n for s, n in own.items()) for k, own in sizes.items()}
-    lacking = {k: size[k] - held[k] for k in size if size[k] > held[k]}
+    known = {k: sum(s * n for s, n in own.items()) for k, own in sizes.items()}
+    lacking = {k: size[k] - known[k] for k in size if size[k] > known[k]}
     if lacking:
         bare = tie_ranks(every.where("sig is null or size(sig) = 0").select("selection", "graph"), ["selection"], "graph").where(F.col("less") < _by(lacking))
         chosen = chosen.unionByName(bare.select("selection", "graph", F.lit(None).cast("array<int>").alias("sig"), F.lit(0).cast("long").alias("family_size"), F.lit(1).alias("member")))
