@@ -13,7 +13,7 @@ def test_query_equals_its_sql(spark, name):
     compare(spark, name, catalogue.QUERIES[name], catalogue.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - {"witness_covers"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 

@@ -1,3 +1,4 @@
+import io
 import gzip
 import json
 
@@ -14,7 +15,7 @@ def test_planar_code(spark, tmp_path):
     data = codecs.encode_planar(CUBE, header=True) + codecs.encode_planar([[1], [0]])
     (tmp_path / "a.pl").write_bytes(data)
     (tmp_path / "b.pl").write_bytes(codecs.encode_planar(CUBE))
-    assert list(codecs.decode_planar(data)) == [CUBE, [[1], [0]]]
+    assert list(codecs.decode_planar(io.BytesIO(data), chunk=5)) == [CUBE, [[1], [0]]]
     spark.dataSource.register(readers.PlanarCodeSource)
     for df in (spark.read.format("planar_code").load(str(tmp_path)), readers.read_planar(spark, str(tmp_path))):
         assert sorted(len(r.rotation) for r in df.collect()) == [2, 8, 8]
@@ -22,9 +23,9 @@ def test_planar_code(spark, tmp_path):
     assert codecs.encode_planar([[1], [0]]) in [bytes(r.b) for r in back] and "2 2 0 1 0" in [r.t for r in back]
     for bad in (b"\x00", b"\x02\x03\x00\x01\x00", b"\x02\x02\x00\x01", b""[:0] + b"\x02"):
         with pytest.raises(ValueError):
-            list(codecs.decode_planar(bad))
+            list(codecs.decode_planar(io.BytesIO(bad)))
     with pytest.raises(ValueError):
-        list(codecs.decode_planar(codecs.encode_planar(CUBE), require_header=True))
+        list(codecs.decode_planar(io.BytesIO(codecs.encode_planar(CUBE)), require_header=True))
 
 
 def test_graph6(spark):

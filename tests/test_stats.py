@@ -104,3 +104,19 @@ def test_adjacent_pairs_across_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert got == pairs
     assert stats.adjacent_pairs(df.limit(0), ["g"], ["i"], "v").count() == 0
+
+
+def test_percentiles_survive_a_sketch_that_errs(spark, monkeypatch):
+    """With a coarse sketch and a margin of nothing brackets miss their ranks; such groups are sorted whole."""
+    import numpy as np
+
+    rng = np.random.RandomState(7)
+    rows = [(g, float(v)) for g, n in (("a", 4000), (None, 3000), ("c", 30)) for v in rng.exponential(size=n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    plain = F.percentile_approx
+    monkeypatch.setattr(stats, "ACCURACY", 50)
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda c, p, a: plain(c, F.array(*map(F.lit, (0.6, 0.99, 0.7, 0.995))), a))
+    got = {r.g: (r.n, r.m, r.q) for r in stats.exact_percentiles(df, ["g"], "v", {"m": 0.5, "q": 0.99}).collect()}
+    for g in ("a", None, "c"):
+        own = [v for k, v in rows if k == g]
+        assert got[g][0] == len(own) and np.allclose(got[g][1:], np.quantile(own, [0.5, 0.99]))

@@ -54,6 +54,8 @@ def dart_faces(graphs: DataFrame, longest: int = 1 << 20) -> DataFrame:
         now, reach = moved, reach * 2
         if still:
             break
+    else:
+        raise ValueError(f"a face of more than {longest} darts")
     now = now.select("graph", "dart", "to", "low")
     # places: walk from each dart towards the least one, counting steps, again by doubling
     start = step.join(now.select("graph", "dart", "low"), ["graph", "dart"])

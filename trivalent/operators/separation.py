@@ -91,13 +91,14 @@ def greedy_packing(pairs: DataFrame) -> DataFrame:
     return (taken if taken is not None else left).select("graph", "support")
 
 
-def minimum_cover(pairs: DataFrame) -> DataFrame:
+def minimum_cover(pairs: DataFrame, most: int = 20_000_000) -> DataFrame:
     """(graph, cover_size, cover): a smallest family of cycles that meets every support; exact.
 
     A frontier of partial families of all graphs grows by one cycle a round: each family takes on, one
     by one, the cycles of the smallest support it doesn't meet, equal families are merged, and a graph is
     done in the first round in which a family meets all; no family outgrows the greedy cover. For
-    universes of some tens of cycles; graphs with an unseparable pair have no row.
+    universes of some tens of cycles: a frontier of more than ``most`` families is an error, as it would go on growing.
+    Graphs with an unseparable pair have no row.
     """
     hopeless = pairs.where("size(support) = 0").select("graph").distinct()
     s = materialize(minimal_supports(pairs.join(hopeless, "graph", "left_anti")), "supports")
@@ -114,6 +115,8 @@ def minimum_cover(pairs: DataFrame) -> DataFrame:
         grown = grown.select("graph", "upper", F.explode("n.support").alias("c"), "family").select("graph", "upper", F.array_sort(F.concat("family", F.array("c"))).alias("family"))
         last, now = now, materialize(grown.distinct(), "family")
         discard(last)
+        if (n := now.count()) > most:
+            raise ValueError(f"{n} partial covers; the universe is too large for an exact cover")
     if done is None:
         done = s.select("graph", F.col("support").alias("cover")).limit(0)
     return done.select("graph", F.size("cover").alias("cover_size"), "cover")
@@ -128,7 +131,8 @@ def irredundant(cycle_members: DataFrame) -> DataFrame:
         now = left.join(ids.where(F.col("k") == k).select("graph", "cycle_id"), ["graph", "cycle_id"])
         counts = left.groupBy("graph", "item").agg(F.count("*").alias("n"))
         free = now.join(counts, ["graph", "item"]).groupBy("graph", "cycle_id").agg(F.min("n").alias("n")).where("n >= 2")
-        left = materialize(left.join(free.select("graph", "cycle_id"), ["graph", "cycle_id"], "left_anti"), "family")
+        last, left = left, materialize(left.join(free.select("graph", "cycle_id"), ["graph", "cycle_id"], "left_anti"), "family")
+        discard(last)
     return left.select("graph", "cycle_id").distinct()
 
 

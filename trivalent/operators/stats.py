@@ -50,30 +50,39 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, wanted: dict
     k = len(wanted)
     # a group of at most 2 ACCURACY rows is sorted whole; above, the margin exceeds the sketch's error by a rank or more
     sketch = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.percentile_approx("x__", F.array(*map(F.lit, bounds)), ACCURACY).alias("b__"))
-    whole, far = F.col("n") <= 2 * ACCURACY, F.lit(float("inf"))
-    brackets = materialize(
-        sketch.select(
-            *groups, "n",
-            F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.when(whole, -far).otherwise(F.get("b__", i)).alias("lo"), F.when(whole, far).otherwise(F.get("b__", i + k)).alias("hi"))).alias("b__"),
-        ),
-        "brackets",
-    )
-    joined = join_groups(rows, brackets, groups)
-    pieces = []
-    for i, (name, p) in enumerate(wanted.items()):
-        at = (F.col("n") - 1) * F.lit(p)
-        pieces.append(F.struct(F.lit(name).alias("p"), F.get("b__", F.lit(i)).alias("b"), F.floor(at).alias("low"), (at - F.floor(at)).alias("part")))
-    # below each bracket only a number is needed, inside it the values with their counts
-    inside = joined.withColumn("q__", F.explode(F.filter(F.array(*pieces), lambda q: F.col("x__") <= q["b"]["hi"])))
-    keyed = inside.select(*groups, "n", "q__.p", "q__.low", "q__.part", F.when(F.col("x__") >= F.col("q__.b.lo"), F.col("x__")).alias("x__"))
-    counts = keyed.groupBy(*groups, "n", "p", "low", "part", "x__").agg(F.count("*").alias("c"))  # null: all below
-    upto = F.sum("c").over(Window.partitionBy(*groups, "p").orderBy(F.col("x__").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    run = counts.withColumn("u", upto)
-    low = F.min(F.when(F.col("u") > F.col("low"), F.col("x__")))
-    high = F.min(F.when(F.col("u") > F.least(F.col("low") + 1, F.col("n") - 1), F.col("x__")))
-    each = run.groupBy(*groups, "n", "p").agg(low.alias("a"), high.alias("z"), F.first("part").alias("part"))
-    valued = each.select(*groups, "n", "p", (F.col("a") + (F.col("z") - F.col("a")) * F.col("part")).alias("v"))
-    return valued.groupBy(*groups, "n").agg(*[F.max(F.when(F.col("p") == name, F.col("v"))).alias(name) for name in wanted])
+    far = F.lit(float("inf"))
+
+    def ranked(bounds: DataFrame, whole: Column) -> DataFrame:
+        """(groups, n, p, v, missed): each percentile from the rows inside its bracket, and whether the bracket missed it."""
+        lo, hi = (lambda i: F.when(whole, -far).otherwise(F.get("b__", i))), (lambda i: F.when(whole, far).otherwise(F.get("b__", i + k)))
+        brackets = bounds.select(*groups, "n", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(lo(i).alias("lo"), hi(i).alias("hi"))).alias("b__"))
+        joined = join_groups(rows, brackets, groups)
+        pieces = []
+        for i, (name, p) in enumerate(wanted.items()):
+            at = (F.col("n") - 1) * F.lit(p)
+            pieces.append(F.struct(F.lit(name).alias("p"), F.get("b__", F.lit(i)).alias("b"), F.floor(at).alias("low"), (at - F.floor(at)).alias("part")))
+        # below each bracket only a number is needed, inside it the values with their counts
+        inside = joined.withColumn("q__", F.explode(F.filter(F.array(*pieces), lambda q: F.col("x__") <= q["b"]["hi"])))
+        keyed = inside.select(*groups, "n", "q__.p", "q__.low", "q__.part", F.when(F.col("x__") >= F.col("q__.b.lo"), F.col("x__")).alias("x__"))
+        counts = keyed.groupBy(*groups, "n", "p", "low", "part", "x__").agg(F.count("*").alias("c"))  # null: all below
+        upto = F.sum("c").over(Window.partitionBy(*groups, "p").orderBy(F.col("x__").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        run = counts.withColumn("u", upto)
+        next_ = F.least(F.col("low") + 1, F.col("n") - 1)
+        low, high = F.min(F.when(F.col("u") > F.col("low"), F.col("x__"))), F.min(F.when(F.col("u") > next_, F.col("x__")))
+        missed = F.coalesce(F.max(F.when(F.col("x__").isNull(), F.col("c") > F.col("low"))), F.lit(False)) | (F.max("u") <= F.max(next_))
+        each = run.groupBy(*groups, "n", "p").agg(low.alias("a"), high.alias("z"), F.first("part").alias("part"), missed.alias("missed"))
+        return each.select(*groups, "n", "p", (F.col("a") + (F.col("z") - F.col("a")) * F.col("part")).alias("v"), "missed")
+
+    def flat(each: DataFrame) -> DataFrame:
+        return each.groupBy(*groups, "n").agg(*[F.max(F.when(F.col("p") == name, F.col("v"))).alias(name) for name in wanted], F.bool_or("missed").alias("missed__"))
+
+    bounds_ = materialize(sketch, "brackets")
+    out = materialize(flat(ranked(bounds_, F.col("n") <= 2 * ACCURACY)), "percentiles")
+    missed = out.where("missed__")
+    if not missed.isEmpty():  # the sketch erred: these groups are sorted whole
+        again = join_groups(bounds_, missed.select(*groups), groups) if groups else bounds_
+        out = out.where("not missed__").unionByName(flat(ranked(again, F.lit(True))))
+    return out.drop("missed__")
 
 
 def distribution(df: DataFrame, groups: list[str], value: str) -> DataFrame:

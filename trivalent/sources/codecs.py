@@ -6,35 +6,53 @@ Small helpers for one record, used inside Arrow batches by the readers in this p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import BinaryIO
 
 HEADER = b">>planar_code<<"
 
 
-def decode_planar(data: bytes, require_header: bool = False) -> Iterator[list[list[int]]]:
-    """Rotation systems of a planar_code stream, vertices from 0.
+CHUNK = 1 << 20
+
+
+def decode_planar(stream: BinaryIO, require_header: bool = False, chunk: int = CHUNK) -> Iterator[list[list[int]]]:
+    """Rotation systems of a planar_code stream, vertices from 0; holds a chunk and a record at a time.
 
     One byte a value. Raises on a missing but required header, an order of 0, a neighbour out of range
     and a cut record.
     """
-    at = 0
-    if data.startswith(HEADER):
+    held, at, ended = b"", 0, False
+
+    def more() -> bool:
+        nonlocal held, at, ended
+        got = stream.read(chunk)
+        held, at, ended = held[at:] + got, 0, not got
+        return not ended
+
+    while len(held) < len(HEADER) and more():
+        pass
+    if held.startswith(HEADER):
         at = len(HEADER)
     elif require_header:
         raise ValueError("planar_code header is missing")
-    while at < len(data):
-        order, at = data[at], at + 1
+    while at < len(held) or more():
+        order = held[at]
         if not order:
             raise ValueError("planar_code record without vertices")
         rows: list[list[int]] = []
-        for _ in range(order):
-            end = data.find(0, at)
+        pos = at + 1
+        while len(rows) < order:
+            end = held.find(0, pos)
             if end < 0:
-                raise ValueError("planar_code record is cut off")
-            if max(data[at:end], default=0) > order:
+                pos -= at  # the record moves to the front of what is held
+                if not more():
+                    raise ValueError("planar_code record is cut off")
+                continue
+            if max(held[pos:end], default=0) > order:
                 raise ValueError(f"neighbour beyond {order} vertices")
-            rows.append([w - 1 for w in data[at:end]])
-            at = end + 1
+            rows.append([w - 1 for w in held[pos:end]])
+            pos = end + 1
         yield rows
+        at = pos
 
 
 def encode_planar(rotation: list[list[int]], header: bool = False) -> bytes:

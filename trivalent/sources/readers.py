@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob as globbing
+import io
 import os
 from collections.abc import Iterator
 
@@ -33,13 +34,15 @@ class _PlanarReader(DataSourceReader):
 
     def read(self, partition: _File) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            data = f.read()
-        for k, rows in enumerate(decode_planar(data, self.require)):
-            yield partition.path, k, rows
+            for k, rows in enumerate(decode_planar(f, self.require)):
+                yield partition.path, k, rows
 
 
 class PlanarCodeSource(DataSource):
-    """``spark.read.format("planar_code").load(path)``: one partition a file, on a file system all executors see."""
+    """``spark.read.format("planar_code").load(path)``: one partition a file, on a file system all executors see.
+
+    A file is read as a stream of any length: its records have no marks that a reader could begin at, so it can't be parted.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -53,11 +56,11 @@ class PlanarCodeSource(DataSource):
 
 
 def read_planar(spark: SparkSession, path: str, require_header: bool = False) -> DataFrame:
-    """(file, index, rotation) of planar_code files anywhere Spark can read."""
+    """(file, index, rotation) of planar_code files anywhere Spark can read; files of at most 2 GB, which a row can hold."""
 
     @F.pandas_udf(T.ArrayType(_NESTED))
     def decode(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: list(decode_planar(bytes(b), require_header)))
+        return content.map(lambda b: list(decode_planar(io.BytesIO(b), require_header)))
 
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(decode("content")).alias("index", "rotation"))
 
