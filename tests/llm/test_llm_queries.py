@@ -42,6 +42,6 @@ def test_containers_hold_every_text(spark):
     assert len({(r.budget_id, r.doc_id, r.piece) for r in rows}) == len(rows)
 
 
-@pytest.mark.parametrize("name", ["p5_selections", "p7_found", "p8_found", "p8_sources", "p7_items", "p6_fill"])
+@pytest.mark.parametrize("name", ["p5_selections", "p5_spread", "p7_found", "p8_found", "p8_sources", "p7_items", "p6_fill"])
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
