@@ -28,6 +28,8 @@ GRAM = 12
 LEAST_SEEDS = 4  # on one diagonal; the shortest leaks of 12 words hold so many with two misread letters
 BLOCK, NEAR, SHIFT = 64, 48, 3  # letters of an item looked at together, of a stretch at least, to either side of the diagonal
 LEAST_FOURS = 0.5  # share of a stretch's 4-grams
+SIDE = 3 * BLOCK + SHIFT  # bytes between pages, so that what is looked at of one ends before the next
+GROUP_LETTERS, GROUP_PAGES, CLOSE_ROWS = 200_000, 256, 4096  # of pages looked up at once, candidates compared at once
 BAND = 16
 MATCH, OTHER, GAP = 2, -3, -3
 SLACK = 5
@@ -69,13 +71,16 @@ class SeedIndex:
         same = self.gram[k] == g[at]
         return at[same], k[same]
 
-    def candidates(self, g: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Item, diagonal, seeds and one seed's block of the diagonals with at least so many seeds; a row for each block of the item that has some."""
+    def candidates(self, g: np.ndarray, least: int, page: np.ndarray, pages: int) -> tuple[np.ndarray, ...]:
+        """Item, page, diagonal, seeds and one seed's block of the diagonals with at least so many seeds; a row for each block of the item that has some.
+
+        ``page`` tells which of the ``pages`` each place of ``g`` belongs to.
+        """
         at, k = self.find(g)
         n = self.first[k + 1] - self.first[k]
         idx = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else at
-        pos = self.pos[idx].astype(np.int64)
-        key = (self.item[idx].astype(np.int64) << 32) + np.repeat(at, n) - pos + (1 << 31)
+        pos, at = self.pos[idx].astype(np.int64), np.repeat(at, n)
+        key = ((self.item[idx].astype(np.int64) * pages + page[at]) << 32) + at - pos + (1 << 31)
         order = np.argsort(key, kind="stable")
         key, block = key[order], pos[order] // BLOCK
         cut = np.flatnonzero(np.concatenate(([True], np.diff(key) > BAND // 2, [True]))) if len(key) else np.zeros(1, np.int64)
@@ -85,7 +90,13 @@ class SeedIndex:
         wide = np.unique((cluster << 32) + block[np.repeat(enough, sizes)])
         cluster, block = wide >> 32, wide & 0xFFFFFFFF
         mid = key[cut[:-1][enough] + sizes[enough] // 2][cluster]
-        return mid >> 32, (mid & 0xFFFFFFFF) - (1 << 31), sizes[enough][cluster], block
+        return (mid >> 32) // pages, (mid >> 32) % pages, (mid & 0xFFFFFFFF) - (1 << 31), sizes[enough][cluster], block
+
+
+def fours(text: np.ndarray) -> np.ndarray:
+    """The 4-grams of a text of bytes as numbers."""
+    t = text.astype(np.uint32)
+    return t[:-3] | t[1:-2] << np.uint32(8) | t[2:-1] << np.uint32(16) | t[3:] << np.uint32(24)
 
 
 class Letters:
@@ -98,36 +109,38 @@ class Letters:
         side = 3 * BLOCK  # so that blocks may reach beyond their item
         self.start = np.concatenate(([0], np.cumsum(self.size + 2 * side)[:-1])) + side
         self.text = np.frombuffer(b"".join(bytes(side) + t + bytes(side) for t in texts), dtype=np.uint8)
+        self.fours = fours(self.text)
         self.stretch = np.zeros(len(self.text), dtype=np.int32)  # letters of the stretch, 0 where none begins
         for i, at in zip(self.ids.tolist(), self.start.tolist()):
             begin = np.concatenate(([0], np.cumsum([len(w) for w in words[i]])))
             self.stretch[at + begin[: -least_words]] = begin[least_words:] - begin[:-least_words]
 
-    def close(self, page: bytes, item: np.ndarray, diag: np.ndarray, block: np.ndarray, least: float = LEAST_FOURS) -> np.ndarray:
-        """Which candidates share enough 4-grams with the page in some stretch around their block of seeds."""
+    def close(self, page: np.ndarray, item: np.ndarray, diag: np.ndarray, block: np.ndarray, least: float = LEAST_FOURS) -> np.ndarray:
+        """Which candidates share enough 4-grams with the text of the pages in some stretch around their block of seeds.
+
+        ``page`` has at least ``SIDE`` bytes that are no letters on either side of what a candidate may reach.
+        """
         if least <= 0:
             return np.ones(len(item), dtype=bool)
-        begin, width = (block - 1) * BLOCK, 3 * BLOCK
-        place = (self.start[item] + begin)[:, None] + np.arange(width)
-        own = self.text[place]
-        side = width + SHIFT
-        padded = np.concatenate((np.full(side, 1, np.uint8), np.frombuffer(page, np.uint8), np.full(side, 1, np.uint8)))
-        first = begin + diag + side - SHIFT
-        row = first[:, None] + np.arange(width + 2 * SHIFT)
-        near = padded[np.clip(row, 0, len(padded) - 1)]
-        fours = np.zeros((len(item), width - 3), dtype=bool)
-        for s in range(2 * SHIFT + 1):
-            same = near[:, s : s + width] == own
-            two = same[:, :-1] & same[:, 1:]
-            fours |= two[:, :-2] & two[:, 2:]
-        sums = np.zeros((len(item), width - 2), dtype=np.int32)
-        np.cumsum(fours, axis=1, dtype=np.int32, out=sums[:, 1:])
-        r, at = np.nonzero(self.stretch[place[:, : width - NEAR]])
-        # a stretch that goes on beyond what is looked at counts as far as that
-        seen = np.minimum(self.stretch[place[r, at]], width - at)
-        good = sums[r, at + seen - 3] - sums[r, at] >= least * (seen - 3)
         out = np.zeros(len(item), dtype=bool)
-        out[r[good]] = True
+        own, near = self.fours, fours(page)
+        for a in range(0, len(item), CLOSE_ROWS):
+            rows = slice(a, a + CLOSE_ROWS)
+            begin, width = (block[rows] - 1) * BLOCK, 3 * BLOCK
+            place = (self.start[item[rows]] + begin)[:, None] + np.arange(width - 3)
+            mine = own[place]
+            row = np.clip((begin + diag[rows] - SHIFT)[:, None] + np.arange(width - 3 + 2 * SHIFT), 0, len(near) - 1)
+            theirs = near[row]
+            same = theirs[:, : width - 3] == mine
+            for s in range(1, 2 * SHIFT + 1):
+                same |= theirs[:, s : s + width - 3] == mine
+            sums = np.zeros((len(mine), width - 2), dtype=np.int32)
+            np.cumsum(same, axis=1, dtype=np.int32, out=sums[:, 1:])
+            r, at = np.nonzero(self.stretch[place[:, : width - NEAR]])
+            # a stretch that goes on beyond what is looked at counts as far as that
+            seen = np.minimum(self.stretch[place[r, at]], width - at)
+            good = sums[r, at + seen - 3] - sums[r, at] >= least * (seen - 3)
+            out[a + r[good]] = True
         return out
 
 
@@ -156,19 +169,39 @@ def _spell(adverts_of):
     return run
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    """Pages (doc_id, letters) in groups of bounded size; a longer page is a group of its own."""
+    for b in batches:
+        group, size = [], 0
+        for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            group.append((d, s))
+            size += len(s)
+            if size >= GROUP_LETTERS or len(group) == GROUP_PAGES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+
 def _seek(index_of, letters_of, least_seeds: int, least_fours: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = index_of.value, letters_of.value
-        for b in batches:
+        gap = b"\1" * SIDE
+        for group in _grouped(batches):
+            start = np.cumsum([SIDE, *(len(s) + SIDE for _, s in group)])
+            whole = gap + b"".join(s + gap for _, s in group)
+            page_of = np.repeat(np.arange(len(group)), np.diff(start))
+            g = grams(whole)
+            item, page, diag, seeds, block = index.candidates(g, least_seeds, np.concatenate((np.zeros(SIDE, np.int64), page_of)), len(group))
+            if not len(item):
+                continue
+            close = known.close(np.frombuffer(whole, np.uint8), item, diag, block, least_fours)
             out = []
-            for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                item, diag, seeds, block = index.candidates(grams(s), least_seeds)
-                if not len(item):
-                    continue
-                close = known.close(s, item, diag, block, least_fours)
-                for i, g, n in sorted(set(zip(item[close].tolist(), diag[close].tolist(), seeds[close].tolist()))):
-                    a = max(0, g - BAND)
-                    out.append((d, int(known.ids[i]), g - a, n, s[a : max(0, g + int(known.size[i]) + BAND)]))
+            local = diag[close] - start[page[close]]
+            for p, i, at, n in sorted(set(zip(page[close].tolist(), item[close].tolist(), local.tolist(), seeds[close].tolist()))):
+                d, s = group[p]
+                a = max(0, at - BAND)
+                out.append((d, int(known.ids[i]), at - a, n, s[a : max(0, at + int(known.size[i]) + BAND)]))
             if out:
                 cols = list(zip(*out))
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
