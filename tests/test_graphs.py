@@ -202,4 +202,4 @@ def test_constraints_of_graphs_without_a_witness(spark, monkeypatch):
     for parts in (1, 7):
         monkeypatch.setattr(graphs, "table", lambda *_, n=parts: cons.repartition(n))
         got = {tuple(r) for r in graphs.constraints_met_by_witnesses(spark, "").collect()}
-        assert got == {("aa", "x", 2, 1), ("aa", "y", 1, 0), ("bb", "x", 2, 0)}
+        assert got == {("primary", "aa", "x", 2, 1), ("primary", "aa", "y", 1, 0), ("primary", "bb", "x", 2, 0), ("mirror", "cc", "x", 1, 0)}

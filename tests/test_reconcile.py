@@ -65,6 +65,18 @@ def test_reconcile_against_sets(spark):
     assert {r.k for r in reconcile.reconcile(make({1: "a"}), none, ["k"], F.col("v")).collect()} == {1}
 
 
+def test_latest_rows_of_a_key_and_ties(spark):
+    """Of several rows of a key the latest counts; of equal times the same one whichever copy and partition it lies in."""
+    schema = "k long, v string, t int"
+    tied = [(2, "x", 5), (2, "y", 5), (2, "x", 5)]
+    left = [(1, "old", 1), (1, "new", 2), *tied, (3, "only", None), (None, "null key", 1), (4, "a", None), (4, "b", 0)]
+    right = [(1, "new", 1), *tied[::-1], (None, "other", 1), (4, "b", 9)]
+    make = lambda rows, n: spark.createDataFrame(rows, schema).repartition(n)
+    for n in (1, 3):
+        got = reconcile.reconcile(make(left, n), make(right, 2), ["k"], F.col("v"), "t", first_bound=2).collect()
+        assert {(r.k, r.p and r.p.v, r.m and r.m.v) for r in got} == {(3, "only", None), (None, "null key", "other")}
+
+
 def test_record_paths():
     a = {"n": 3, "x": {"t": 0.1, "u": None, "l": [1, 2]}, "face_size_multiset": [4, 6, 4], "hardest_ordered_pair": [[2, 1], [3, 4]], "f": True}
     b = {"hardest_ordered_pair": [[1, 2], [4, 3]], "face_size_multiset": [6, 4, 4], "x": {"t": 0.1 * (1 + 1e-11), "l": [2, 1], "new": "y"}, "n": 3.0, "f": 1}

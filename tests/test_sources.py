@@ -86,3 +86,11 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     wout = str(tmp_path / "wout")
     ingest.windowed_counts(stream(), "at", "1 minute", "1 minute", [], wout, str(tmp_path / "wprog"))
     assert sum(r.rows for r in spark.read.parquet(wout).collect()) >= 3
+
+
+def test_graph6_lines_of_a_column(spark):
+    from trivalent.sources import readers
+
+    df = spark.createDataFrame([("Bw",), ("A?",), ("D?{",)], "line string")
+    got = readers.graph6_edges(df, "line", "line").groupBy("graph").agg(F.first("order").alias("order"), F.collect_list(F.when(F.col("u").isNotNull(), F.array("u", "v"))).alias("edges"))
+    assert {r.graph: r.back for r in got.select("graph", readers.graph6_line("order", "edges").alias("back")).collect()} == {"Bw": "Bw", "A?": "A?", "D?{": "D?{"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from hashlib import blake2b
 
 import pandas as pd
@@ -75,5 +76,7 @@ def constraint_differences(constraints: DataFrame) -> DataFrame:
 
 
 def copy_differences(primary: DataFrame, mirror: DataFrame, constraints: DataFrame) -> DataFrame:
-    """All differences of both datasets in the columns of ``COLUMNS``."""
-    return bundle_differences(primary, mirror).unionByName(constraint_differences(constraints))
+    """All differences of both datasets in the columns of ``COLUMNS``; the two are reconciled side by side."""
+    with ThreadPoolExecutor(2) as pool:
+        bundles, edges = pool.submit(bundle_differences, primary, mirror), pool.submit(constraint_differences, constraints)
+        return bundles.result().unionByName(edges.result())

@@ -310,12 +310,14 @@ def reconcile(primary: DataFrame, mirror: DataFrame, keys: list[str], canon: Col
     count = found.count()
 
     def fetched(df: DataFrame, side: int) -> DataFrame:
-        own = found.where(F.col("side") == side).select(F.col("rc_1").alias("f_1"), F.col("rc_2").alias("f_2"), F.col("rc_at").alias("f_at"), F.col("x").alias("f_x"))
+        own = found.where(F.col("side") == side).select(F.col("rc_1").alias("f_1"), F.col("rc_2").alias("f_2"), F.col("rc_at").alias("f_at"))
         met = df.join(small(own, 64, count), (F.col("rc_1") == F.col("f_1")) & (F.col("rc_2") == F.col("f_2")) & F.col("rc_at").eqNullSafe(F.col("f_at")))
-        return met.where(x == F.col("f_x")).select(*keys, F.lit(side).alias("rc_side"), (F.struct(*rest) if rest else F.struct(F.lit(True).alias("held"))).alias("rc_row"))
+        row = F.struct(*rest) if rest else F.struct(F.lit(True).alias("held"))
+        # of several rows of the found time the one with the larger hash, as above; the hash is taken of these few rows alone
+        return met.select(*keys, F.lit(side).alias("rc_side"), row.alias("rc_row"), F.struct(x.alias("x"), F.xxhash64(row)).alias("rc_order"))
 
     rows = fetched(keyed[0], 0).unionByName(fetched(keyed[1], 1))
-    one = lambda side: F.max_by(F.when(F.col("rc_side") == side, F.col("rc_row")), F.when(F.col("rc_side") == side, F.xxhash64("rc_row")))
+    one = lambda side: F.max_by(F.when(F.col("rc_side") == side, F.col("rc_row")), F.when(F.col("rc_side") == side, F.col("rc_order")))
     return rows.groupBy(*keys).agg(one(0).alias("p"), one(1).alias("m"))
 
 

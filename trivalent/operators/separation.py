@@ -38,10 +38,10 @@ def coverage(pairs: DataFrame) -> DataFrame:
     return agg.withColumn("separating", F.col("required_pairs") == F.col("separated_pairs"))
 
 
-def antichain(classes: DataFrame) -> DataFrame:
-    """(graph, edges, distinct_signatures, equal_pairs, nested_pairs, antichain) of the edge signatures."""
+def antichain(classes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(graph, edges, distinct_signatures, equal_pairs, nested_pairs, antichain) of the edge signatures; ``pairs`` are the ``class_pairs``, if known."""
     size = classes.groupBy("graph").agg(F.sum("members").alias("edges"), F.count("*").alias("distinct_signatures"), F.sum(F.col("members") * (F.col("members") - 1) / 2).cast("bigint").alias("equal_pairs"))
-    bad = class_pairs(classes).where((F.size("support") == 0) & (F.col("a") != F.col("b"))).groupBy("graph").agg(F.sum("pairs").alias("nested_pairs"))
+    bad = (class_pairs(classes) if pairs is None else pairs).where((F.size("support") == 0) & (F.col("a") != F.col("b"))).groupBy("graph").agg(F.sum("pairs").alias("nested_pairs"))
     out = size.join(bad, "graph", "left").withColumn("nested_pairs", F.coalesce("nested_pairs", F.lit(0)))
     return out.withColumn("antichain", (F.col("equal_pairs") == 0) & (F.col("nested_pairs") == 0))
 

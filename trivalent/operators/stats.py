@@ -100,11 +100,13 @@ def robust_profile(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     else 0. ``robust_scale_method`` names it: mad_normal, iqr_normal, decile_normal, half_range, constant.
     """
     rows = df.select(*groups, F.col(value).cast("double").alias("value")).where(finite("value"))
-    ranks = materialize(exact_percentiles(rows, groups, "value", PROFILE), "ranks")
-    plain = rows.groupBy(*groups).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"))
-    away = join_groups(rows, ranks.select(*groups, F.col("median").alias("m__")), groups).select(*groups, F.abs(F.col("value") - F.col("m__")).alias("away"))
-    mad = exact_percentiles(away, groups, "away", {"mad": 0.5}).drop("n")
-    flat = join_groups(join_groups(ranks, plain, groups), mad, groups).select(*groups, F.col("n").alias("value_count"), "minimum", *PROFILE, "maximum", "mean", "mad")
+    # one table of counts per value serves all percentiles, and that of the distances from the median
+    ranks = materialize(tie_ranks(rows, groups, "value"), "ranks")
+    plain = ranks.groupBy(*groups).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), (F.sum(F.col("value") * F.col("equal")) / F.sum("equal")).alias("mean"))
+    middle = materialize(join_groups(rank_percentiles(ranks, groups, "value", PROFILE), plain, groups), "middle")
+    away = join_groups(ranks, middle.select(*groups, F.col("median").alias("m__")), groups).select(*groups, F.abs(F.col("value") - F.col("m__")).alias("away"), "equal")
+    mad = rank_percentiles(tie_ranks(away, groups, "away", weight="equal"), groups, "away", {"mad": 0.5}).drop("n")
+    flat = join_groups(middle, mad, groups).select(*groups, F.col("n").alias("value_count"), "minimum", *PROFILE, "maximum", "mean", "mad")
     rungs = [
         ("mad_normal", F.col("mad") * MAD_FACTOR), ("iqr_normal", (F.col("q3") - F.col("q1")) / IQR_FACTOR),
         ("decile_normal", (F.col("p90") - F.col("p10")) / DECILE_FACTOR), ("half_range", (F.col("maximum") - F.col("minimum")) / 2),
@@ -126,13 +128,13 @@ def outlier_scores(zs: DataFrame, ids: list[str], clip: float = 8.0) -> DataFram
     return zs.groupBy(*ids).agg(F.sum(F.greatest(F.lit(0.0), F.least(F.lit(clip), F.col("z")))).alias("score"))
 
 
-def tie_ranks(df: DataFrame, groups: list[str], value: str, partitions: int | None = None) -> DataFrame:
+def tie_ranks(df: DataFrame, groups: list[str], value: str, partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """(groups, value, equal, less, n): how many rows of the group are equal to, and below, each value.
 
     From counts per value, range-partitioned; partition totals give offsets, so no sort of a whole
-    group in one task. Null values aren't ranked.
+    group in one task. Null values aren't ranked. With ``weight`` a row stands for so many.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("equal"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("equal"))
     args = [*groups, value]
     spread = counts.repartitionByRange(partitions, *args) if partitions else counts.repartitionByRange(*args)
     parted = materialize(spread.withColumn("part__", F.spark_partition_id()), "ranges")
@@ -147,6 +149,17 @@ def tie_ranks(df: DataFrame, groups: list[str], value: str, partitions: int | No
     return join_groups(local, offsets, [*groups, "part__"]).select(*groups, value, "equal", (F.col("before__") + F.col("local__")).alias("less"), "n")
 
 
+def rank_percentiles(ranks: DataFrame, groups: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(groups, n, one column per percentile) from a frame of ``tie_ranks``, interpolated linearly at (n-1)p."""
+    n = F.max("n")
+    at = lambda rank: F.max(F.when(F.col("less") <= rank, F.col(value)))
+    ends = {name: (F.floor((F.col("n") - 1) * F.lit(p)), (F.col("n") - 1) * F.lit(p)) for name, p in wanted.items()}
+    agg = ranks.groupBy(*groups).agg(
+        n.alias("n"), *[at(low).alias(f"a__{k}") for k, (low, _) in ends.items()], *[at(F.least(low + 1, F.col("n") - 1)).alias(f"z__{k}") for k, (low, _) in ends.items()]
+    )
+    return agg.select(*groups, "n", *[(F.col(f"a__{k}") + (F.col(f"z__{k}") - F.col(f"a__{k}")) * (p - low)).alias(k) for k, (low, p) in ends.items()])
+
+
 def with_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """``df`` with competition_rank (1 + number greater), mid_percentile and average_rank (rising, ties share the mean).
 

@@ -121,7 +121,8 @@ def witness_separation(spark: SparkSession, sf: str) -> DataFrame:
     """Of the edges seen in a record's witnesses: ordered pairs, those separated, and the state of the signatures."""
     rows = materialize(witness_rows(witness_cycles(spark, sf)), "rows")
     classes = materialize(separation.signature_classes(rows, rows), "classes")
-    cov, anti = separation.coverage(separation.class_pairs(classes)), separation.antichain(classes)
+    pairs = materialize(separation.class_pairs(classes), "pairs")
+    cov, anti = separation.coverage(pairs), separation.antichain(classes, pairs)
     return cov.join(anti, "graph").withColumnRenamed("graph", "record_id")
 
 
