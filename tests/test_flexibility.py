@@ -1,6 +1,8 @@
+import os
 from itertools import permutations
 
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 from test_graphs import CUBE, CUBE_EDGES
 
@@ -58,6 +60,75 @@ def test_paths_of_three_edges(cube):
     assert got == {"all": brute(cycles, want), "few": brute(cycles[:2], want), "none": brute([], want)}
 
 
+def test_verdicts_on_the_cycles_of_one_row():
+    import random
+
+    step = random.Random(5)
+    cases = [[], [[3]], [[1, 2]], [[1, 2, 3]], [[4, 4, 1, 2]], [[0, 1, 2, 3]], [[0, 1, 2, 3], [3, 2, 1, 0]], [[0, 1, 2, 0, 3, 4]], [[-5, 2, 7, 1, 9], [2, 7, 2, 8, -5, 3]]]
+    cases += [[step.choices(range(n), k=step.randrange(1, 9)) for _ in range(step.randrange(1, 6))] for n in (3, 5, 9) for _ in range(60)]
+    cases += [[step.sample(range(8), 8) for _ in range(k)] for k in (1, 2, 5, 40, 300)]  # 300: every pair has its cycle
+    for walks in cases:
+        cycles = [{tuple(sorted(e)) for e in zip(c, c[1:] + c[:1])} for c in walks]
+        edges = sorted(set().union(*cycles))
+        pairs = [([e], [f], (*e, *f)) for e in edges for f in edges if e != f]
+        near = {v: {w for e in edges if v in e for w in e if w != v} for e in edges for v in e}
+        paths = {min(p, p[::-1]) for b in near for c in near[b] for a in near[b] for d in near[c] for p in [(a, b, c, d)] if len({*p}) == 4}
+        steps = [([tuple(sorted(p[k : k + 2])) for k in range(3)], [], p) for p in paths]
+        for got, want in ((flexibility.pairs_of(walks), pairs), (flexibility.paths_of(walks), steps)):
+            assert (got and (*got[:4], list(got[4]))) == (brute(cycles, want) if want else None), walks
+
+
+def test_recorded_flexibility_on_odd_lines(spark, tmp_path):
+    """The line that counts decides, also one without cycles; equal to the query's SQL."""
+    import json
+
+    import duckdb
+    from oracle import rows_of
+
+    from trivalent.plans import catalogue
+
+    def text(analyses):
+        return json.dumps({"canonical_graph_hash": "h", "requested_vertex_count": 8} | {a: {"witnesses": [{"witness_index": k, "cycle": c} for k, c in enumerate(cs)]} for a, cs in analyses.items()})
+
+    a, b = [0, 1, 2, 3, 4, 5, 6, 7], [0, 3, 2, 1, 6, 5, 4, 7, 0]
+    both = {"all_edge_pairs": [a, b], "three_edge_paths": [b]}
+    lines = [
+        (1, 1, text(both)), (1, 2, text({})),  # the latest has no cycles
+        (2, 1, text(both)), (2, 2, text(both)[:-5]), (2, 0, text({"all_edge_pairs": [b]})),  # the latest is broken
+        (3, 1, text({"all_edge_pairs": [a]})), (3, 2, text(both)), (3, 3, None), (3, 4, " "),
+        (4, 1, json.dumps({"record": json.loads(text({"three_edge_paths": [[2, 5, 3], a]}))})),
+        (5, 1, text({"all_edge_pairs": [[]], "three_edge_paths": [[4, 6, 9]]})), (6, 1, "[1]"), (None, 1, text(both)),
+    ]
+    df = spark.createDataFrame(lines, "record_id long, line_no long, record_json string")
+    df.repartition(3).write.parquet(str(tmp_path / "census_records.parquet"))
+    got = catalogue.QUERIES["recorded_flexibility"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW census_records AS SELECT * FROM '{tmp_path}/census_records.parquet/*.parquet'")
+    cur = con.execute(catalogue.SQL["recorded_flexibility"])
+    want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == want and len(want) == 5
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_recorded_flexibility_writes_little(spark):
+    """What the query shuffles and writes is less than its input."""
+    from pathlib import Path
+
+    from trivalent import session
+    from trivalent.plans import catalogue
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    session.release(spark)
+    before = shuffled()
+    assert catalogue.QUERIES["recorded_flexibility"](spark, SF).collect()
+    kept = sum(p.stat().st_size for path in session._WRITTEN for p in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    assert shuffled() - before + kept < os.path.getsize(f"{SF}/census_records.parquet")
+
+
 def test_pairs_on_one_face(spark, cube):
     cycles, universe, _ = cube
     darts = embedding.dart_faces(spark.createDataFrame([("all", CUBE)], "graph string, rotation array<array<int>>"))

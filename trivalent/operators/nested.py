@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from ..session import scratch_path
 
@@ -272,6 +274,11 @@ def visit(record: dict, around: Iterable[tuple[str, Any]] = ()) -> Iterator[tupl
                 yield "cycle", key, parent, name, place, _list_payload(c)
 
 
+def _slim(lines: DataFrame, record_id: str, line_no: str, text: str) -> DataFrame:
+    slim = lines.select(F.col(record_id).cast("long").alias("r"), F.coalesce(F.col(line_no).cast("long"), F.lit(-(2**62))).alias("l"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("s"))
+    return slim.where("r is not null and s is not null")
+
+
 def emit_records(lines: DataFrame, record_id: str = "record_id", line_no: str = "line_no", text: str = "record_json", tags: Iterable[str] | None = None) -> DataFrame:
     """The tagged rows (columns: ``EMITTED``) of every line that holds a complete JSON object; of ``tags`` and ``record`` only, if given."""
     cols = [c.split()[0] for c in EMITTED.split(", ")]
@@ -299,8 +306,7 @@ def emit_records(lines: DataFrame, record_id: str = "record_id", line_no: str =
         if out:
             yield batch(out)
 
-    slim = lines.select(F.col(record_id).cast("long").alias("r"), F.coalesce(F.col(line_no).cast("long"), F.lit(-(2**62))).alias("l"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("s"))
-    return slim.where("r is not null and s is not null").mapInArrow(run, EMITTED)
+    return _slim(lines, record_id, line_no, text).mapInArrow(run, EMITTED)
 
 
 def shred(lines: DataFrame, record_id: str = "record_id", line_no: str = "line_no", text: str = "record_json", tags: Iterable[str] | None = None) -> dict[str, DataFrame]:
@@ -329,6 +335,43 @@ def shred(lines: DataFrame, record_id: str = "record_id", line_no: str = "line_n
     return out
 
 
+def of_cycles(lines: DataFrame, work: Callable[[dict[str, list[list[int]]]], list[tuple]], columns: str, record_id: str = "record_id", line_no: str = "line_no", text: str = "record_json") -> DataFrame:
+    """(record_id, *columns): the rows that ``work`` makes of a record's witness cycles, given as lists by analysis.
+
+    Lines count as for ``shred``. A record lies in its line whole, so ``work`` is done as the line is read; no table of
+    cycles is written, and each line's rows alone are shuffled, to find the line that counts. For few rows a record.
+    """
+    row = StructType.fromDDL(columns)
+    names, kind = row.names, to_arrow_type(ArrayType(row))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for rid, no, h, s in zip(*[b.column(i).to_pylist() for i in range(4)]):
+                found = record_of(s)
+                if found is None:
+                    continue
+                uid += 1
+                cycles: dict[str, list[list[int]]] = {}
+                try:
+                    for tag, _, _, analysis, _, payload in visit(*found):
+                        if tag == "cycle":
+                            cycles.setdefault(analysis, []).append(payload["v"])
+                except RecursionError:  # as good as broken, as in emit_records
+                    continue
+                # a line without cycles has a row too, as it may be the one that counts
+                for own, x in zip(out, (rid, no, h, uid, [dict(zip(names, r)) for r in work(cycles)])):
+                    own.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], kind)], names=["record_id", "line_no", "text_hash", "line_uid", "found"])
+
+    each = _slim(lines, record_id, line_no, text).mapInArrow(run, f"record_id long, line_no long, text_hash long, line_uid long, found array<struct<{columns}>>")
+    latest = each.groupBy("record_id").agg(F.max(F.struct("line_no", "text_hash", "line_uid", "found")).alias("at"))
+    return latest.select("record_id", F.inline("at.found"))
+
+
 def hardest_and_witness_rows(lines: DataFrame) -> DataFrame:
     """The children of both analyses as one long table: (record_id, analysis, child_name, outer_pos, inner_pos, leaf_value)."""
     t = shred(lines, tags=["hardest_edge", "hardest_path", "witness", "cycle"])

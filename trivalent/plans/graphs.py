@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cycle_edges, norm_hash
 from ..operators import cycles, flexibility, graph, separation
-from ..operators.nested import shred
+from ..operators.nested import of_cycles, shred
 from ..operators.reconcile import latest_per_key
 from ..session import materialize, table
 from .problems import P2_WITNESSES
@@ -141,11 +141,7 @@ SELECT record_id, analysis, count(*) AS constraints, count(*) FILTER (n > 0) AS
   array_to_string(arg_min(first, {{'n': n, 'f': first}}), '-') AS hardest FROM met GROUP BY ALL""")
 def recorded_flexibility(spark: SparkSession, sf: str) -> DataFrame:
     """Of the edges seen in a record's witnesses: how many constraints of either analysis they satisfy, and the hardest one."""
-    w = witness_cycles(spark, sf)
-    rows = materialize(w.select("analysis", F.col("graph").alias("record_id"), "cycle_id", F.explode(cycle_edges("cycle")).alias("e")).select(F.struct("record_id", "analysis").alias("graph"), "cycle_id", "e.u", "e.v").distinct(), "rows")
-    kinds = [("all_edge_pairs", flexibility.edge_pairs), ("three_edge_paths", flexibility.edge_paths)]
-    each = [verdicts(own, own) for name, verdicts in kinds for own in [rows.where(F.col("graph.analysis") == name)]]
-    return each[0].unionByName(each[1]).select("graph.*", "constraints", "satisfied", "holds", "fewest", F.array_join("hardest", "-").alias("hardest"))
+    return of_cycles(table(spark, sf, "census_records"), flexibility.recorded, flexibility.RECORDED)
 
 
 @query()
